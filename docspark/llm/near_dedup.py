@@ -7,10 +7,12 @@ drawn one by one; a document stops as soon as every place holds less than the ne
 
 Links are found as follows. Documents with equal sets become one representative. Representatives that agree on all
 rows of a band share a bucket; each is compared with its bucket's smallest member on full sets, and components of the
-links are found. Buckets that still span several components are then compared further, with other members as
-centres, and what remains after that pair by pair across components only. A pair that is not compared is one whose
-ends are already linked, so components are those of all pairs that share a bucket. With 128 places in 32 bands of 4 a
-pair of similarity 0.75 shares none with probability 5e-6, of 0.8 with 7e-8.
+links are found. The members of buckets that still span several components are then joined exactly, across components:
+shingles are ordered from rare to frequent, and two sets of the wanted similarity must share one among the first seventh
+(at 0.75) of the smaller set and the first quarter of the larger one, early enough for the rest to make up the overlap.
+So no pair within a bucket is listed for sharing the bucket alone, and components are those of all linked pairs that
+share a bucket. With 128 places in 32 bands of 4 a pair of similarity 0.75 shares none with probability 5e-6, of 0.8
+with 7e-8.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.components import components
-from docspark.llm.kernels import Words, chunks, mix, shingle_sets
+from docspark.llm.kernels import Words, chunks, mix, pack, pack_sorted, shingle_sets, unpack, unpack_sorted
+from docspark.llm.packed import Chunk, answers, by_slice, chunk_table, cuts, send, slice_bits
 from docspark.llm.scratch import Scratch
 
 _U = np.uint64
@@ -138,7 +141,55 @@ def verified(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) ->
     return first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, places: int = 128, bands: int = 32, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlapping(texts: DataFrame, rest: DataFrame, scratch: Scratch, *, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids with different roots that may reach the similarity, by prefixes of rare shingles: all that do.
+
+    texts: (id, text) of the rows of rest: (id, root). A chunk asks the owners of hash slices how many of the texts have
+    each of its shingles, orders every set by that number, and sends the prefix; shingles of one text only can't be shared.
+    """
+    table = chunk_table(texts, scratch, lambda data, offs: len(Words(data, offs).row), "rest-chunks")
+    bits = slice_bits(table.agg(F.sum("words")).first()[0] or 0)
+
+    def ask(row: dict) -> Iterator[tuple]:
+        chunk = Chunk(row)
+        shingles, counts = np.unique(shingle_sets(Words(chunk.data, chunk.offs, lower=True), size)[1], return_counts=True)
+        border = cuts(shingles, bits)
+        for part in np.flatnonzero(np.diff(border)):
+            own = slice(border[part], border[part + 1])
+            yield int(part), chunk.key, pack_sorted(shingles[own]), pack(counts[own].astype(np.uint32))
+
+    def added(group: pa.Table) -> pa.Table:
+        shingles = [unpack_sorted(b.as_py()) for b in group.column("shingles")]
+        counts = [unpack(b.as_py(), np.uint32) for b in group.column("counts")]
+        _, where = np.unique(np.concatenate(shingles), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate(counts)).astype(_U)
+        out = [pack(total[w]) for w in np.split(where, np.cumsum([len(x) for x in shingles])[:-1])]
+        return pa.table({"slice": group.column("slice"), "chunk": group.column("chunk"), "blob": pa.array(out, pa.binary())})
+
+    def prefixes(row: dict) -> Iterator[tuple]:
+        chunk = Chunk(row)
+        of, shingle = shingle_sets(Words(chunk.data, chunk.offs, lower=True), size)
+        total = np.concatenate([unpack(b, _U) for b in by_slice(row["totals"])] or [np.zeros(0, _U)])
+        total = total[np.unique(shingle, return_inverse=True)[1]]
+        order = np.lexsort((shingle, total, of))
+        of, shingle, total = of[order], shingle[order], total[order]
+        held = np.bincount(of, minlength=len(chunk.ids))
+        place = np.arange(len(of)) - (np.cumsum(held) - held)[of]
+        size_of = held[of]
+        sent = (100 * (size_of - place) >= percent * size_of) & (total > 1)
+        return zip(shingle[sent].view(np.int64).tolist(), chunk.ids[of[sent]].tolist(), size_of[sent].tolist(), place[sent].tolist())
+
+    texts = table.select("chunk", "ids", "sizes", "body")
+    totals = answers(send(texts, ask, "slice int, chunk long, shingles binary, counts binary").groupBy("slice").applyInArrow(added, "slice int, chunk long, blob binary"), "totals")
+    rows = send(texts.join(totals, "chunk"), prefixes, "shingle long, id long, n long, place long").join(rest, "id")
+    rows = scratch.table(rows, "prefixes")
+    small = rows.where(f"({100 + percent}) * (n - place) >= {2 * percent} * n").select("shingle", *(F.col(c).alias(f"{c}_s") for c in ("id", "n", "place", "root")))
+    reach = f"{100 + percent} * least(n - place, n_s - place_s) >= {percent} * (n + n_s)"
+    met = small.join(rows, "shingle").where(f"root <> root_s and (n_s < n or n_s = n and id_s < id) and 100 * n_s >= {percent} * n and {reach}")
+    return met.select(F.greatest("id", "id_s").alias("a"), F.least("id", "id_s").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, places: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of `docs`.
 
     Linked are texts whose sets of `size`-word shingles (A-Z lower-cased) have a similarity of `percent`/100 or more;
@@ -164,26 +215,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, places
     some = texts.join(scratch.table(cells.select(F.col("rep").alias("id")).distinct(), "nodes"), "id")
     some = scratch.table(some.dropDuplicates(["id"]), "texts")
     links = scratch.table(verified(tested, some, size=size, percent=percent), "good-0")
-    rest = None
-    for turn in range(1, rounds + 2):
-        roots = components(links, scratch, f"roots{turn}")
-        cells_now = (cells if rest is None else rest).select("key", "rep")
-        marked = cells_now.join(roots, cells_now["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        marked = scratch.table(marked, f"marked-{turn}")
-        drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root")
-        split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(drawn).alias("c")).where("lo <> hi")
-        split = split.select("key", F.col("c.rep").alias("centre"), F.col("c.root").alias("centre_root"))
-        rest = scratch.table(marked.join(split, "key"), f"rest-{turn}")
-        if turn <= rounds:
-            more = rest.where("root <> centre_root").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
-        else:
-            x, y = rest.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b")), rest.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"))
-            more = x.join(y, "key").where("a > b and root_a <> root_b").select("a", "b")
-        more = scratch.table(more.distinct().join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        if more.isEmpty() and turn > rounds:
-            break
-        links = scratch.table(links.unionAll(verified(more, some, size=size, percent=percent)), f"good-{turn}")
-        tested = tested.unionAll(more)
+    roots = components(links, scratch, "roots")
+    marked = cells.join(roots, cells["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    marked = scratch.table(marked, "marked")
+    split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = scratch.table(marked.join(split, "key").select(F.col("rep").alias("id"), "root").distinct(), "rest")
+    more = overlapping(some.join(rest.select("id"), "id"), rest, scratch, size=size, percent=percent).join(tested, ["a", "b"], "left_anti")
+    more = scratch.table(more, "pairs-1")
+    links = scratch.table(links.unionAll(verified(more, some, size=size, percent=percent)), "good-1")
     roots = components(links.unionAll(copies), scratch, "all")
     out = signed.select("id", "n_shingles").join(roots, signed["id"] == roots["node"], "left")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("root", "id").cast(kind).alias("component_id"), F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"))
