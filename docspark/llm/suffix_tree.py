@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import _LOWER, Words, mix, pack, pack_sorted, unpack, unpack_sorted
+from docspark.llm.kernels import _GOLD, _LOWER, Words, mix, pack, pack_sorted, unpack, unpack_sorted
 from docspark.llm.packed import NO_ID, Chunk, answers, by_slice, chunk_table, cuts, rows_of, send, slice_bits
 from docspark.llm.scratch import Scratch
 
@@ -85,13 +85,48 @@ class Units:
         self.at = np.repeat(start, asked) + self.reach
 
 
-def _contexts(symbols: np.ndarray, at: np.ndarray, reach: np.ndarray, length: int) -> np.ndarray:
-    """Keys of the contexts of `length` symbols (fewer at a word's start): the symbols in base 256 below a leading one."""
-    key = np.zeros(len(at), _U)
-    for back in range(length, 0, -1):
-        here = reach >= back
-        key[here] = key[here] * _U(256) + symbols[at[here] - back].astype(_U)
-    return key + (_U(1) << (_U(8) * np.minimum(reach, length).astype(_U)))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)], _U)
+_LEAD = np.array([1 << 8 * k for k in range(8)], _U)
+
+
+def _contexts(units: Units, depth: int) -> np.ndarray:
+    """Keys of the longest contexts: up to `depth` symbols in base 256, the nearest last, below a leading one."""
+    code = np.zeros(len(units.symbols), _U)
+    for back in range(1, depth + 1):
+        code[back:] |= units.symbols[:-back].astype(_U) << _U(8 * (back - 1))
+    size = np.minimum(units.reach, depth)
+    return code[units.at] & _MASK[size] | _LEAD[size]
+
+
+class Index:
+    """Finds keys above 0 in an open-addressed table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = _U(64 - max(4, int(3 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values, self.last = np.zeros(size, _U), np.zeros(size, values.dtype), size - 1
+        left, at = np.arange(len(keys)), self._start(keys)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            done = self.keys[at] == keys[left]
+            self.values[at[done]] = values[left[done]]
+            left, at = left[~done], (at[~done] + 1) & self.last
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _GOLD) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is there, its value)."""
+        at = self._start(keys)
+        held = self.keys[at]
+        hit, left = held == keys, np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.last
+            held = self.keys[at[left]]
+            hit[left] = held == keys[left]
+            left = left[(held != keys[left]) & (held != 0)]
+        return hit, self.values[at]
 
 
 class SuffixTree:
@@ -106,23 +141,24 @@ class SuffixTree:
         self.up = np.searchsorted(self.keys, (self.keys & ((_U(1) << shift) - _U(1))) | (_U(1) << shift)).astype(np.int64)
         self.back = np.log10(weight / (totals + weight))  # of a symbol not seen after the state: times the suffix's
         pairs = contexts.astype(_U) * _U(256) + symbols.astype(_U)
-        order = np.argsort(pairs)
-        self.pairs, self.logs, where, counts = pairs[order], np.zeros(len(order)), where[order], counts[order]
+        self.states = Index(self.keys, np.arange(len(self.keys), dtype=np.int32))
+        logs, known = np.zeros(len(pairs)), np.zeros(0, np.int64)
         for length in range(int(self.lengths.max(initial=0)) + 1):
             own = np.flatnonzero(self.lengths[where] == length)
             below = np.full(len(own), 1 / SYMBOLS)
             if length:
-                below = 10 ** self._walk(self.up[where[own]], (self.pairs[own] & _U(255)))
-            self.logs[own] = np.log10((counts[own] + weight * below) / (totals[where[own]] + weight))
+                self.pairs = Index(pairs[known], logs[known])
+                below = 10 ** self._walk(self.up[where[own]], pairs[own] & _U(255))
+            logs[own] = np.log10((counts[own] + weight * below) / (totals[where[own]] + weight))
+            known = np.concatenate([known, own])
+        self.pairs = Index(pairs, logs)
 
     def _walk(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 of a symbol's probability after a state: from the nearest suffix that it was seen after."""
         out, left = np.zeros(len(state)), np.arange(len(state))
         while len(left):
-            pairs = self.keys[state] * _U(256) + symbol
-            found = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-            hit = self.pairs[found] == pairs
-            out[left[hit]] += self.logs[found[hit]]
+            hit, logs = self.pairs.find(self.keys[state] * _U(256) + symbol)
+            out[left[hit]] += logs[hit]
             out[left[~hit]] += self.back[state[~hit]]
             bottom = ~hit & (self.lengths[state] == 0)
             out[left[bottom]] -= np.log10(SYMBOLS)
@@ -130,22 +166,23 @@ class SuffixTree:
             left, state, symbol = left[on], self.up[state[on]], symbol[on]
         return out
 
-    def symbol_logs(self, symbols: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        state = np.zeros(len(at), np.int64)
-        left = np.arange(len(at))
+    def symbol_logs(self, units: Units) -> np.ndarray:
+        context = _contexts(units, self.depth)
+        size = np.minimum(units.reach, self.depth)
+        state, left = np.zeros(len(context), np.int64), np.arange(len(context))
         for length in range(self.depth, -1, -1):
-            keys = _contexts(symbols, at[left], reach[left], length)
-            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[found] == keys
-            state[left[hit]] = found[hit]
-            left = left[~hit]
-        return self._walk(state, symbols[at].astype(_U))
+            own = left if length == 0 else left[size[left] >= length]
+            hit, found = self.states.find(context[own] & _MASK[length] | _LEAD[length])
+            state[own[hit]] = found[hit]
+            missed = own[~hit]
+            left = missed if length == 0 else np.concatenate([missed, left[size[left] < length]])
+        return self._walk(state, units.symbols[units.at].astype(_U))
 
     def logs_of(self, units: Units) -> np.ndarray:
         """log10 probabilities of units."""
         if not len(self.keys):
             return -np.log10(SYMBOLS) * np.bincount(units.unit, minlength=units.count)
-        return np.bincount(units.unit, weights=self.symbol_logs(units.symbols, units.at, units.reach), minlength=units.count)
+        return np.bincount(units.unit, weights=self.symbol_logs(units), minlength=units.count)
 
 
 def _distinct(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -185,7 +222,7 @@ def _symbol_counts(depth: int, mod: int):
             words = Words(chunk.data, chunk.offs, lower=True)
             units, train = Units(chunk, words), ~held_out(chunk.ids, mod)
             n = np.bincount(units.of_words, weights=train[words.row], minlength=units.count) + np.bincount(units.of_ends, weights=train, minlength=units.count)
-            keys = _contexts(units.symbols, units.at, units.reach, depth) * _U(256) + units.symbols[units.at].astype(_U)
+            keys = _contexts(units, depth) * _U(256) + units.symbols[units.at].astype(_U)
             seen = n[units.unit] > 0
             sums.append(_added(keys[seen], n[units.unit][seen]))
             if sum(len(keys) for keys, _ in sums) > FLUSHED:
@@ -220,7 +257,8 @@ def grown_tree(counts: DataFrame, scratch: Scratch, *, depth: int, min_gain: flo
     beyond that, those with the largest gains are taken.
     """
     schema = "ctx long, sym int, n long"
-    total = counts.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
+    # tasks have added up their counts: a partial aggregation before the exchange would find nothing to add
+    total = counts.repartition("ctx").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
     full = scratch.table(total.mapInArrow(_suffixes, schema).groupBy("ctx", "sym").agg(F.sum("n").alias("n")), "contexts")
     # a key in hexadecimal is a leading one and two digits per symbol
     suffix = "(ctx & (shiftleft(1L, 8 * {k}) - 1)) + shiftleft(1L, 8 * {k})"
