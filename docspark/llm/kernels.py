@@ -136,6 +136,37 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row, hashed
 
 
+class Index:
+    """Finds keys above 0 in an open-addressed table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(3 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values, self.last = np.zeros(size, np.uint64), np.zeros(size, values.dtype), size - 1
+        left, at = np.arange(len(keys)), self._start(keys)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            done = self.keys[at] == keys[left]
+            self.values[at[done]] = values[left[done]]
+            left, at = left[~done], (at[~done] + 1) & self.last
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _GOLD) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is there, its value)."""
+        at = self._start(keys)
+        held = self.keys[at]
+        hit, left = held == keys, np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.last
+            held = self.keys[at[left]]
+            hit[left] = held == keys[left]
+            left = left[(held != keys[left]) & (held != 0)]
+        return hit, self.values[at]
+
+
 def pack(values: np.ndarray) -> bytes:
     """Compresses unsigned integers: bytes of equal weight side by side, then zstandard."""
     values = np.ascontiguousarray(values)
