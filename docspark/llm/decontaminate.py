@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import _LOWER, _SPACE, Index, chunks
+from docspark.llm.kernels import _GOLD, _LOWER, _SPACE, Index, chunks
 
 _U = np.uint64
 _FOLD = _LOWER.copy()
@@ -30,12 +30,19 @@ ALIGNED = 2000
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
-    """The q bytes from each place as a number above 0, q of 7 at most, or a hash."""
+    """The q bytes from each place as a number above 0; beyond 8 bytes, a hash of them."""
     n = max(0, len(data) - q + 1)
-    code = np.zeros(n, _U)
-    for i in range(q):
-        code = code * _U(257) + data[i : i + n].astype(_U) + _U(1)
-    return code
+    if q > 8:
+        code = np.zeros(n, _U)
+        for i in range(q):
+            code = code * _U(257) + data[i : i + n].astype(_U) + _U(1)
+        return code | (code == 0)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    code = np.empty(n, _U)
+    for i in range(min(8, n)):  # every eighth place at once
+        code[i::8] = padded[i : i + 8 * len(code[i::8])].view("<u8")
+    code &= _U((1 << 8 * q) - 1)
+    return code | (code == 0)  # eight NULs count as one 0x01: a needless candidate at worst
 
 
 class Items:
@@ -61,21 +68,25 @@ class Items:
         keys, first, self.many = np.unique(grams[order], return_index=True, return_counts=True)
         self.first, self.item, self.place = first, item[order], place[order]
         self.index = Index(keys, np.arange(len(keys), dtype=np.int32))
+        self.shift = _U(64 - max(20, int(8 * len(keys)).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)  # small enough for a processor's cache
+        self.seen[(keys * _GOLD) >> self.shift] = True
 
     def candidates(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, first diagonal of the band) with enough shared q-grams."""
         none = np.zeros(0, np.int64)
         if not len(self.ids) or len(data) < self.q:
             return none, none, none
-        hit, key = self.index.find(_grams(data, self.q))
-        at = np.flatnonzero(hit)
-        key = key[at]
+        grams = _grams(data, self.q)
+        at = np.flatnonzero(self.seen[(grams * _GOLD) >> self.shift])
+        hit, key = self.index.find(grams[at])
+        at, key = at[hit], key[hit]
         many = self.many[key]
         steps = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         posting = np.repeat(self.first[key], many) + steps
         at = np.repeat(at, many)
         item = self.item[posting]
-        row = np.searchsorted(offs, at, "right") - 1
+        row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[at]
         inside = at + self.q <= offs[row + 1]  # not across two rows
         at, item, row, posting = at[inside], item[inside], row[inside], posting[inside]
         band = (at - self.place[posting] + int(self.size.max())) // (self.edits[item] + 1)
