@@ -140,7 +140,7 @@ class Index:
     """Finds keys above 0 in an open-addressed table."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(3 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - max(4, int(1.5 * len(keys)).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.keys, self.values, self.last = np.zeros(size, np.uint64), np.zeros(size, values.dtype), size - 1
         left, at = np.arange(len(keys)), self._start(keys)

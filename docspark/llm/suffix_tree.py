@@ -33,6 +33,8 @@ BLANK, END, SYMBOLS = 0x20, 0x0A, 257
 CROSSED = 3
 #: Entries of symbol counts that a task holds before it adds them up or sends them.
 FLUSHED = 3_000_000
+#: Symbols that are scored at once.
+SCORED = 1 << 18
 
 
 def held_out(ids: np.ndarray, mod: int = 10, rest: int = 0) -> np.ndarray:
@@ -79,10 +81,10 @@ class Units:
         if len(own):
             self.symbols[np.repeat((start + lead + 1)[own], body[own]) + steps] = _LOWER[data[np.repeat(words.starts[first[own]], body[own]) + steps]]
         asked = size - lead - 1
-        steps = np.arange(int(asked.sum())) - np.repeat(np.cumsum(asked) - asked, asked)
-        self.unit = np.repeat(np.arange(len(first)), asked)
-        self.reach = np.repeat(lead + 1, asked) + steps
-        self.at = np.repeat(start, asked) + self.reach
+        self.unit = np.repeat(np.arange(len(first), dtype=np.int32), asked)
+        self.reach = np.repeat(lead + 1 - np.cumsum(asked) + asked, asked) + np.arange(len(self.unit))
+        self.at = (np.repeat(start, asked) + self.reach).astype(np.int32)
+        self.reach = np.minimum(self.reach, 7).astype(np.int8)
 
 
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)], _U)
@@ -90,7 +92,7 @@ _LEAD = np.array([1 << 8 * k for k in range(8)], _U)
 
 
 def _contexts(units: Units, depth: int) -> np.ndarray:
-    """Keys of the longest contexts: up to `depth` symbols in base 256, the nearest last, below a leading one."""
+    """Keys of the longest contexts: up to `depth` (of 6) symbols in base 256, the nearest last, below a leading one."""
     code = np.zeros(len(units.symbols), _U)
     for back in range(1, depth + 1):
         code[back:] |= units.symbols[:-back].astype(_U) << _U(8 * (back - 1))
@@ -135,23 +137,28 @@ class SuffixTree:
             left, state, symbol = left[on], self.up[state[on]], symbol[on]
         return out
 
-    def symbol_logs(self, units: Units) -> np.ndarray:
-        context = _contexts(units, self.depth)
-        size = np.minimum(units.reach, self.depth)
-        state, left = np.zeros(len(context), np.int64), np.arange(len(context))
-        for length in range(self.depth, -1, -1):
-            own = left if length == 0 else left[size[left] >= length]
-            hit, found = self.states.find(context[own] & _MASK[length] | _LEAD[length])
-            state[own[hit]] = found[hit]
-            missed = own[~hit]
-            left = missed if length == 0 else np.concatenate([missed, left[size[left] < length]])
-        return self._walk(state, units.symbols[units.at].astype(_U))
-
     def logs_of(self, units: Units) -> np.ndarray:
         """log10 probabilities of units."""
         if not len(self.keys):
             return -np.log10(SYMBOLS) * np.bincount(units.unit, minlength=units.count)
-        return np.bincount(units.unit, weights=self.symbol_logs(units), minlength=units.count)
+        contexts, total = _contexts(units, self.depth), np.zeros(units.count)
+        for at in range(0, len(contexts), SCORED):
+            part = slice(at, at + SCORED)
+            state = self._states(contexts[part], np.minimum(units.reach[part], self.depth))
+            logs = self._walk(state, units.symbols[units.at[part]].astype(_U))
+            total += np.bincount(units.unit[part], weights=logs, minlength=units.count)
+        return total
+
+    def _states(self, context: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The longest retained suffix of each context of the given size."""
+        state, left = np.zeros(len(context), np.int64), np.arange(len(context))
+        for length in range(self.depth, -1, -1):
+            fits = size[left] >= length
+            own = left[fits]
+            hit, found = self.states.find(context[own] & _MASK[length] | _LEAD[length])
+            state[own[hit]] = found[hit]
+            left = np.concatenate([own[~hit], left[~fits]])
+        return state
 
 
 def _distinct(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray]:
