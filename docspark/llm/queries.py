@@ -12,6 +12,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docspark.llm.mixing import mixed
+
+    return mixed(_documents(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docspark.llm.near_dedup import near_duplicates
 
@@ -56,4 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docspark.llm import mixing
+
+    return {"op4_source_mixing": mixing.SQL}
