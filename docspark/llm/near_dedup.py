@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.components import components
-from docspark.llm.kernels import Words, chunks, mix, pack, pack_sorted, shingle_sets, unpack, unpack_sorted
+from docspark.llm.kernels import Words, chunks, give_back, mix, pack, pack_sorted, shingle_sets, unpack, unpack_sorted
 from docspark.llm.packed import Chunk, answers, by_slice, chunk_table, cuts, send, slice_bits
 from docspark.llm.scratch import Scratch
 
@@ -110,6 +110,7 @@ def signatures(docs: DataFrame, *, size: int, places: int, bands: int) -> DataFr
                     set_a[full] = np.add.reduceat(mix(shingle ^ _STEP), starts)
                     set_b[full] = np.add.reduceat(mix(shingle ^ _OTHER), starts)
                 keys = band_keys(superminhash(row, shingle, n, places), bands)
+                give_back()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), _signed(keys))
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(held), _signed(set_a), _signed(set_b), lists], names=["id", "n_shingles", "set_a", "set_b", "bands"])
 
@@ -135,6 +136,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) ->
                     if 100 * min(n, m) >= percent * max(n, m):
                         both = len(np.intersect1d(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], assume_unique=True))
                         good[k] = 100 * both >= percent * (n + m - both)
+                give_back()
                 yield pa.RecordBatch.from_arrays([rows.column("a").filter(pa.array(good)), rows.column("b").filter(pa.array(good))], names=["a", "b"])
 
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -159,6 +161,7 @@ def overlapping(texts: DataFrame, rest: DataFrame, scratch: Scratch, *, size: in
             yield int(part), chunk.key, pack_sorted(shingles[own]), pack(counts[own].astype(np.uint32))
 
     def added(group: pa.Table) -> pa.Table:
+        give_back()
         shingles = [unpack_sorted(b.as_py()) for b in group.column("shingles")]
         counts = [unpack(b.as_py(), np.uint32) for b in group.column("counts")]
         _, where = np.unique(np.concatenate(shingles), return_inverse=True)

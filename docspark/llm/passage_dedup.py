@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import Words, mix, pack, pack_sorted, unpack, unpack_sorted
+from docspark.llm.kernels import Words, give_back, mix, pack, pack_sorted, unpack, unpack_sorted
 from docspark.llm.packed import NO_ID, Chunk, answers, by_slice, chunk_table, cuts, rows_of, send, slice_bits
 from docspark.llm.scratch import Scratch
 
@@ -89,6 +89,7 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
                 yield (k << bits) + part, row["chunk"], pack_sorted(cells)
 
     def merged(group: pa.Table) -> pa.Table:
+        give_back()
         parts = [unpack_sorted(blob.as_py()) for blob in group.column("blob")]
         cells, counts = np.unique(np.concatenate(parts), return_counts=True)
         often = cells[counts > 1]
@@ -120,6 +121,7 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
             yield int(part), row["chunk"], pack_sorted(windows.one[own]), pack(windows.two[own]), pack(windows.least[own])
 
     def smallest(group: pa.Table) -> pa.Table:
+        give_back()
         one = [unpack_sorted(blob.as_py()) for blob in group.column("one")]
         lengths = [len(x) for x in one]
         one = np.concatenate(one)
@@ -161,6 +163,7 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
                 removed.append(n - int(mask.sum()))
                 texts.append(b" ".join(compress(own, mask) if removed[-1] else own).decode("utf-8", "replace"))
             ids = pa.array(chunk.ids, mask=chunk.ids == NO_ID)
+            give_back()
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
     full = table.select("chunk", "ids", "sizes", "body").join(first, "chunk", "left").join(second, "chunk", "left")

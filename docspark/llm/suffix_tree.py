@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import _LOWER, Index, Words, mix, pack, pack_sorted, unpack, unpack_sorted
+from docspark.llm.kernels import _LOWER, Index, Words, give_back, mix, pack, pack_sorted, unpack, unpack_sorted
 from docspark.llm.packed import NO_ID, Chunk, answers, by_slice, chunk_table, cuts, rows_of, send, slice_bits
 from docspark.llm.scratch import Scratch
 
@@ -168,6 +168,7 @@ def _distinct(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray]:
 
 def _owner(group: pa.Table) -> pa.Table:
     """Adds up the counts of a slice's words: answers for its chunks, and totals in a row without a chunk."""
+    give_back()
     hashed = [unpack_sorted(b.as_py()) for b in group.column("hashes")]
     counts = [unpack(b.as_py(), np.uint32) for b in group.column("counts")]
     words, where = np.unique(np.concatenate(hashed), return_inverse=True)
@@ -206,6 +207,7 @@ def _symbol_counts(depth: int, mod: int):
                 if len(sums[0][0]) > FLUSHED // 2:
                     yield from rows(sums)
                     sums = []
+            give_back()
         if sums:
             yield from rows(sums)
 
@@ -302,6 +304,7 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
             logs = model.logs_of(units)
             add = lambda x: np.bincount(words.row, weights=x[where], minlength=size)
             out = [pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(held_out(chunk.ids, mod)), pa.array(words.counts + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(np.bincount(words.row, weights=logs[units.of_words], minlength=size) + logs[units.of_ends])]
+            give_back()
             yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     full = texts.join(answers(told.where("chunk is not null"), "counts"), "chunk", "left")
