@@ -8,10 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Key of the pseudonyms in these queries; a deployment passes its own secret.
+PII_KEY = "corpus key for tests"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docspark.llm.pii import pseudonymised
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonymised(docs, PII_KEY, found_col="n_found", changed_col="n_replaced")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docspark.llm.mixing import mixed
 
