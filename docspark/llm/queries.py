@@ -16,6 +16,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docspark.llm.licenses import licenses
+
+    return licenses(_documents(spark, sf_dir))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docspark.llm.pii import pseudonymised
 
