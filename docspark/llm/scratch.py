@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 8 << 20
+
+
 class Scratch:
     """Writes and drops intermediate Parquet tables under spark.checkpoint.dir.
 
@@ -21,6 +24,10 @@ class Scratch:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="docspark-")
             spark.conf.set("spark.checkpoint.dir", base)
+        # Arrow batches of chunk rows are held several times over, in the JVM and in Python: 8 MB instead of 64
+        batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if int(spark.conf.get(batch).rstrip("b")) > BATCH_BYTES:
+            spark.conf.set(batch, f"{BATCH_BYTES}b")
         self.base = f"{base.rstrip('/')}/docspark-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
         path = self._path(self.base)
