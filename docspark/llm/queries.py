@@ -29,6 +29,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(docs, PII_KEY, found_col="n_found", changed_col="n_replaced")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docspark.llm.fingerprints import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docspark.llm.mixing import mixed
 
