@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.decontaminate import decontaminated
-from docspark.llm.language_id import UNKNOWN, identified, is_held_out, learned
+from docspark.llm.language_id import is_held_out, learned, recognised
 from docspark.llm.mixing import mixed
 from docspark.llm.near_dedup import near_duplicates
 from docspark.llm.pii import pseudonymised
@@ -35,8 +35,7 @@ def _matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     train = docs.where(~is_held_out(docs["doc_id"])).select(docs["doc_id"].alias("id"), "text", "lang")
     model = learned(train, Scratch(spark))
-    found = identified(docs.select("doc_id", "text"), model)
-    return _matching(docs, found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)))
+    return recognised(docs, model, MIN_SCORE)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

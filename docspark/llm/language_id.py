@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import Words, chunks
+from docspark.llm.kernels import Words, chunks, give_back
 from docspark.llm.scratch import Scratch
 
 UNKNOWN = "und"
 #: Words whose sums a worker keeps; beyond it the store is emptied, which costs time only.
-KEPT = 200_000
+KEPT = 100_000
 
 
 def _core(word: str) -> str:
@@ -42,34 +42,33 @@ class LanguageModel:
     def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]], *, unseen: float = 0.5):
         self.languages = sorted({lang for counts in words.values() for lang in counts} | {lang for counts in grams.values() for lang in counts})
         self.order = max(map(len, grams), default=0)
-        self.words = self._logs(words, unseen)
-        self.grams: dict[str, np.ndarray] = {}
-        for n in range(1, self.order + 1):
-            self.grams |= self._logs({g: c for g, c in grams.items() if len(g) == n}, unseen)
-        self.none = np.zeros(len(self.languages))
-
-    def _logs(self, table: dict[str, dict[str, int]], unseen: float) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        counts = np.array([[c.get(lang, 0) for lang in self.languages] for c in table.values()], float) + unseen
-        return dict(zip(table, np.log(counts / counts.sum(axis=0))))
+        # rows of `logs` by word and by n-gram; the first row says nothing
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        tables = [np.zeros((1, len(self.languages)))]
+        for rows, table in [(self.words, words), *((self.grams, {g: c for g, c in grams.items() if len(g) == n}) for n in range(1, self.order + 1))]:
+            if table:
+                rows |= {item: sum(map(len, tables)) + i for i, item in enumerate(table)}
+                counts = np.array([[c.get(lang, 0) for lang in self.languages] for c in table.values()], float) + unseen
+                tables.append(np.log(counts / counts.sum(axis=0)))
+        self.logs = np.concatenate(tables)
 
     def word(self, word: str) -> np.ndarray:
         """Log frequencies of a word (A-Z lower-cased) in each language; words without a letter say nothing."""
         if not any(map(str.isalpha, word)):
-            return self.none
+            return self.logs[0]
         found = self.words.get(word)
         if found is None:
             word = _core(word).lower()
             found = self.words.get(word)
         if found is not None:
-            return found
-        total, padded, at = self.none.copy(), f" {word} ", 0
+            return self.logs[found]
+        total, padded, at = self.logs[0].copy(), f" {word} ", 0
         while at < len(padded):
             for n in range(min(self.order, len(padded) - at), 0, -1):
                 gram = self.grams.get(padded[at : at + n])
                 if gram is not None:
-                    total += gram
+                    total += self.logs[gram]
                     break
             else:
                 n = 1
@@ -127,6 +126,39 @@ def learned(docs: DataFrame, scratch: Scratch, *, max_documents: int = 20_000, m
     return LanguageModel(common(counts.where(F.col("word").rlike(r"\p{L}") & (F.col("n") > 1)), max_words), tables)
 
 
+class Identifier:
+    """A model with the sums of words met so far."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.names = model, np.array([*model.languages, UNKNOWN], object)
+        self.rows: dict[int, int] = {}
+        self.sums = np.zeros((KEPT, len(model.languages)))
+
+    def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language, score) of the texts of a chunk."""
+        words, raw, n = Words(data, offs, lower=True), data.tobytes(), len(offs) - 1
+        hashed, first, where = np.unique(words.hashes[0], return_index=True, return_inverse=True)
+        table = np.zeros((len(hashed), len(self.model.languages)))
+        starts, ends = words.starts[first].tolist(), words.ends[first].tolist()
+        for i, key in enumerate(hashed.tolist()):
+            row = self.rows.get(key)
+            if row is None:
+                if len(self.rows) >= KEPT:
+                    self.rows.clear()
+                row = self.rows[key] = len(self.rows)
+                self.sums[row] = self.model.word(raw[starts[i] : ends[i]].lower().decode("utf-8", "replace"))
+            table[i] = self.sums[row]
+        letters = np.concatenate([[0], np.cumsum((data | 32) - 97 < 26)])
+        lettered = letters[offs[1:]] > letters[offs[:-1]]
+        for i in np.flatnonzero(~lettered & (np.diff(offs) > 0)):
+            lettered[i] = any(map(str.isalpha, raw[offs[i] : offs[i + 1]].decode("utf-8", "replace")))
+        if not self.model.languages:
+            return np.full(n, UNKNOWN, object), np.zeros(n)
+        sums = np.stack([np.bincount(words.row, weights=table[where, k], minlength=n) for k in range(table.shape[1])], axis=1)
+        share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        return self.names[np.where(lettered, sums.argmax(axis=1), len(self.names) - 1)], np.where(lettered, share, 0.0)
+
+
 def identified(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row: `und` with score 0 for null, for texts without a letter, and for all texts if
     nothing was learned. Languages that tie: the first by name. Texts are read whole."""
@@ -134,39 +166,33 @@ def identified(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*model.languages, UNKNOWN], object)
-        store: dict[int, np.ndarray] = {}
+        found = Identifier(shared.value)
         for batch in batches:
             for rows, data, offs in chunks(batch):
-                words, raw, n = Words(data, offs, lower=True), data.tobytes(), rows.num_rows
-                hashed, first, where = np.unique(words.hashes[0], return_index=True, return_inverse=True)
-                table = np.zeros((len(hashed), len(model.languages)))
-                starts, ends = words.starts[first].tolist(), words.ends[first].tolist()
-                for i, key in enumerate(hashed.tolist()):
-                    logs = store.get(key)
-                    if logs is None:
-                        if len(store) >= KEPT:
-                            store.clear()
-                        logs = store[key] = model.word(raw[starts[i] : ends[i]].lower().decode("utf-8", "replace"))
-                    table[i] = logs
-                sums = np.stack([np.bincount(words.row, weights=table[where, k], minlength=n) for k in range(table.shape[1])], axis=1) if table.shape[1] else np.zeros((n, 0))
-                letters = np.concatenate([[0], np.cumsum((data | 32) - 97 < 26)])
-                lettered = letters[offs[1:]] > letters[offs[:-1]]
-                for i in np.flatnonzero(~lettered & (np.diff(offs) > 0)):
-                    lettered[i] = any(map(str.isalpha, raw[offs[i] : offs[i + 1]].decode("utf-8", "replace")))
-                if table.shape[1]:
-                    best = sums.argmax(axis=1)
-                    share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                else:
-                    lettered, best, share = np.zeros(n, bool), np.zeros(n, int), np.zeros(n)
-                best, share = np.where(lettered, best, len(names) - 1), np.where(lettered, share, 0.0)
-                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(names[best], pa.string()), pa.array(share)], names=["id", "lang_pred", "score"])
+                name, score = found.predict(data, offs)
+                give_back()
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(name, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
+def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, *, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose prediction isn't `und` and has a score of `least` or more. Rows
+    are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Identifier(shared.value)
+        for batch in batches:
+            for rows, data, offs in chunks(batch, text_col):
+                name, score = found.predict(data, offs)
+                give_back()
+                yield rows.filter(pa.array((name != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_held_out(id_column, mod: int = 4, rest: int = 2):
     """crc32 of the decimal id leaves `rest`; a missing id is not held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % mod == rest, F.lit(False))
