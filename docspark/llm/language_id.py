@@ -170,8 +170,8 @@ def identified(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id",
         for batch in batches:
             for rows, data, offs in chunks(batch):
                 name, score = found.predict(data, offs)
-                give_back()
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(name, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+        give_back()
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
@@ -187,8 +187,8 @@ def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, *, tex
         for batch in batches:
             for rows, data, offs in chunks(batch, text_col):
                 name, score = found.predict(data, offs)
-                give_back()
                 yield rows.filter(pa.array((name != UNKNOWN) & (score >= least)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -110,9 +110,9 @@ def signatures(docs: DataFrame, *, size: int, places: int, bands: int) -> DataFr
                     set_a[full] = np.add.reduceat(mix(shingle ^ _STEP), starts)
                     set_b[full] = np.add.reduceat(mix(shingle ^ _OTHER), starts)
                 keys = band_keys(superminhash(row, shingle, n, places), bands)
-                give_back()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), _signed(keys))
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(held), _signed(set_a), _signed(set_b), lists], names=["id", "n_shingles", "set_a", "set_b", "bands"])
+        give_back()
 
     return docs.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
@@ -136,8 +136,8 @@ def verified(pairs: DataFrame, texts: DataFrame, *, size: int, percent: int) ->
                     if 100 * min(n, m) >= percent * max(n, m):
                         both = len(np.intersect1d(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], assume_unique=True))
                         good[k] = 100 * both >= percent * (n + m - both)
-                give_back()
                 yield pa.RecordBatch.from_arrays([rows.column("a").filter(pa.array(good)), rows.column("b").filter(pa.array(good))], names=["a", "b"])
+        give_back()
 
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")

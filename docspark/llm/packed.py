@@ -55,7 +55,7 @@ def chunk_table(docs: DataFrame, scratch: Scratch, count: Callable, name: str =
                 cells = [key, pack(ids), pack(np.diff(offs).astype(np.int64)), int(count(data, offs)), body]
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["chunk", "ids", "sizes", "words", "body"])
                 key += 1
-            give_back()
+        give_back()
 
     return scratch.table(docs.select("id", "text").mapInArrow(run, CHUNK_SCHEMA), name)
 
@@ -86,7 +86,7 @@ def send(chunk_rows: DataFrame, split: Callable[[dict], Iterator[tuple]], schema
         for row in rows_of(batches):
             if cells := list(split(row)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names=names)
-            give_back()
+        give_back()
 
     return chunk_rows.mapInArrow(run, schema)
 

@@ -163,8 +163,8 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
                 removed.append(n - int(mask.sum()))
                 texts.append(b" ".join(compress(own, mask) if removed[-1] else own).decode("utf-8", "replace"))
             ids = pa.array(chunk.ids, mask=chunk.ids == NO_ID)
-            give_back()
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+        give_back()
 
     full = table.select("chunk", "ids", "sizes", "body").join(first, "chunk", "left").join(second, "chunk", "left")
     out = full.mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string")

@@ -141,13 +141,14 @@ class SuffixTree:
         """log10 probabilities of units."""
         if not len(self.keys):
             return -np.log10(SYMBOLS) * np.bincount(units.unit, minlength=units.count)
-        contexts, total = _contexts(units, self.depth), np.zeros(units.count)
-        for at in range(0, len(contexts), SCORED):
+        # a context with a symbol is looked up once, wherever it stands in the chunk
+        keys, where = np.unique(_contexts(units, self.depth) * _U(256) + units.symbols[units.at].astype(_U), return_inverse=True)
+        logs, context = np.empty(len(keys)), keys >> _U(8)
+        size = sum((context >= lead).astype(np.int8) for lead in _LEAD[1 : self.depth + 1])
+        for at in range(0, len(keys), SCORED):
             part = slice(at, at + SCORED)
-            state = self._states(contexts[part], np.minimum(units.reach[part], self.depth))
-            logs = self._walk(state, units.symbols[units.at[part]].astype(_U))
-            total += np.bincount(units.unit[part], weights=logs, minlength=units.count)
-        return total
+            logs[part] = self._walk(self._states(context[part], size[part]), keys[part] & _U(255))
+        return np.bincount(units.unit, weights=logs[where], minlength=units.count)
 
     def _states(self, context: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The longest retained suffix of each context of the given size."""
@@ -207,9 +208,9 @@ def _symbol_counts(depth: int, mod: int):
                 if len(sums[0][0]) > FLUSHED // 2:
                     yield from rows(sums)
                     sums = []
-            give_back()
         if sums:
             yield from rows(sums)
+        give_back()
 
     return run
 
@@ -304,8 +305,8 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
             logs = model.logs_of(units)
             add = lambda x: np.bincount(words.row, weights=x[where], minlength=size)
             out = [pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(held_out(chunk.ids, mod)), pa.array(words.counts + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(np.bincount(words.row, weights=logs[units.of_words], minlength=size) + logs[units.of_ends])]
-            give_back()
             yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        give_back()
 
     full = texts.join(answers(told.where("chunk is not null"), "counts"), "chunk", "left")
     out = full.mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
