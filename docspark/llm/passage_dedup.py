@@ -169,3 +169,15 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
     full = table.select("chunk", "ids", "sizes", "body").join(first, "chunk", "left").join(second, "chunk", "left")
     out = full.mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+
+
+#: The rows of the query in DuckDB's SQL, for the table documents.
+SQL = f"""
+with split as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), 1) as pos from documents),
+windows as (select doc_id, pos, {" || ' ' || ".join(["word", *(f"lead(word, {i}) over next" for i in range(1, 13))])} as words from split window next as (partition by doc_id order by pos)),
+found as (select doc_id, pos, min(doc_id) over (partition by words) as least from windows where words is not null),
+gone as (select distinct doc_id, pos + unnest(range(13)) as pos from found where least < doc_id),
+marked as (select split.*, gone.pos is not null as gone from split left join gone using (doc_id, pos)),
+kept as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as text from marked group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from documents d left join kept using (doc_id)
+"""

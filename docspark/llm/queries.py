@@ -85,6 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from docspark.llm import mixing
+    from docspark.llm import mixing, passage_dedup
 
-    return {"op4_source_mixing": mixing.SQL}
+    return {"op4_source_mixing": mixing.SQL, "op7_substring_dedup": passage_dedup.SQL}

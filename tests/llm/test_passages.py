@@ -1,8 +1,10 @@
 import random
 import re
-from collections import defaultdict
 
-from docspark.llm.passage_dedup import repeated_passages
+import duckdb
+
+from docspark.llm import queries
+from docspark.llm.passage_dedup import SQL, repeated_passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,6 +51,12 @@ def test_equals_brute_force_on_documents(spark):
     same(spark, [(r.doc_id, r.text) for r in docs.collect()], docs)
 
 
+def test_query_equals_sql(spark):
+    duckdb.sql("create or replace view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    got = queries.op7_substring_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(tuple(r) for r in got) == sorted(duckdb.sql(SQL).fetchall())
+
+
 def test_edge_rows(spark):
     long = " ".join(f"k{i}" for i in range(60000))
     rep = " ".join(f"r{i}" for i in range(20))
