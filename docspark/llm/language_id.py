@@ -9,7 +9,7 @@ among n-grams of its length. The prediction is the language with the largest sum
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +23,8 @@ from docspark.llm.scratch import Scratch
 UNKNOWN = "und"
 #: Words whose sums a worker keeps; beyond it the store is emptied, which costs time only.
 KEPT = 100_000
+#: Languages of a model at most.
+MOST_LANGUAGES = 1000
 
 
 def _core(word: str) -> str:
@@ -36,21 +38,24 @@ def _grams(word: str, n: int) -> Iterator[str]:
     return (padded[i : i + n] for i in range(len(padded) - n + 1))
 
 
+Counts = tuple[list[str], np.ndarray]
+
+
 class LanguageModel:
-    """Log frequencies by language of words and of n-grams of each length; `unseen` is added to all counts."""
+    """Log frequencies by language of words and of n-grams of each length, from items and their counts (items x languages);
+    `unseen` is added to all counts."""
 
-    def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]], *, unseen: float = 0.5):
-        self.languages = sorted({lang for counts in words.values() for lang in counts} | {lang for counts in grams.values() for lang in counts})
-        self.order = max(map(len, grams), default=0)
+    def __init__(self, languages: list[str], words: Counts, grams: list[Counts], *, unseen: float = 0.5):
+        self.languages, self.order = languages, len(grams)
         # rows of `logs` by word and by n-gram; the first row says nothing
         self.words: dict[str, int] = {}
         self.grams: dict[str, int] = {}
-        tables = [np.zeros((1, len(self.languages)))]
-        for rows, table in [(self.words, words), *((self.grams, {g: c for g, c in grams.items() if len(g) == n}) for n in range(1, self.order + 1))]:
-            if table:
-                rows |= {item: sum(map(len, tables)) + i for i, item in enumerate(table)}
-                counts = np.array([[c.get(lang, 0) for lang in self.languages] for c in table.values()], float) + unseen
-                tables.append(np.log(counts / counts.sum(axis=0)))
+        tables, at = [np.zeros((1, len(languages)))], 1
+        for rows, (items, counts) in [(self.words, words), *((self.grams, table) for table in grams)]:
+            if items:
+                rows.update(zip(items, range(at, at + len(items))))
+                tables.append(np.log((counts + unseen) / (counts + unseen).sum(axis=0)))
+                at += len(items)
         self.logs = np.concatenate(tables)
 
     def word(self, word: str) -> np.ndarray:
@@ -109,21 +114,26 @@ def learned(docs: DataFrame, scratch: Scratch, *, max_documents: int = 20_000, m
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    def common(table: DataFrame, most: int) -> dict[str, dict[str, int]]:
-        """The commonest items with their counts by language; items and languages collected are bounded by `most`."""
+    def common(table: DataFrame, most: int) -> Counts:
+        """The commonest items with their counts; at most `most` items, each with the languages that were learned."""
         best = table.groupBy("word").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "word").limit(most).select("word")
-        out: dict[str, dict[str, int]] = defaultdict(dict)
-        model = table.join(best, "word").toArrow()
-        for word, lang, n in sorted(zip(*(model.column(c).to_pylist() for c in ("word", "lang", "n")))):
-            out[word][lang] = n
-        return dict(out)
-
+        rows = table.join(best, "word").toArrow()
+        words = rows.column("word").combine_chunks().dictionary_encode()
+        out = np.zeros((len(words.dictionary), len(languages)))
+        place = np.searchsorted(np.array(languages, object), rows.column("lang").to_numpy().astype(object)) if len(rows) else np.zeros(0, np.int64)
+        np.add.at(out, (words.indices.to_numpy(), place), rows.column("n").to_numpy())
+        order = np.argsort(np.array(words.dictionary.to_pylist(), object)) if len(rows) else np.zeros(0, np.int64)
+        return words.dictionary.take(pa.array(order)).to_pylist(), out[order]
+
+    languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGUAGES).collect())
     grams = counts.mapInArrow(gram_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     grams = scratch.table(grams, "grams")
-    tables: dict[str, dict[str, int]] = {}
-    for size in range(1, order + 1):
-        tables |= common(grams.where(F.length("word") == size), max_grams)
-    return LanguageModel(common(counts.where(F.col("word").rlike(r"\p{L}") & (F.col("n") > 1)), max_words), tables)
+    tables = [common(grams.where(F.length("word") == size), max_grams) for size in range(1, order + 1)]
+    while tables and not tables[-1][0]:
+        tables.pop()
+    model = LanguageModel(languages, common(counts.where(F.col("word").rlike(r"\p{L}") & (F.col("n") > 1)), max_words), tables)
+    give_back()
+    return model
 
 
 class Identifier:

@@ -7,7 +7,8 @@ from docspark.llm.language_id import LanguageModel, languages
 
 def test_backs_off_from_words_to_shorter_grams():
     grams = {g: {"aa": c, "bb": d} for g, c, d in [("k", 5, 1), ("ko", 9, 1), ("z", 1, 7), (" ", 3, 3), ("o", 2, 2)]}
-    model = LanguageModel({"the": {"aa": 8}, "der": {"bb": 8}}, grams)
+    counts = lambda table: ([*table], np.array([[c.get(x, 0) for x in ("aa", "bb")] for c in table.values()], float))
+    model = LanguageModel(["aa", "bb"], counts({"the": {"aa": 8}, "der": {"bb": 8}}), [counts({g: c for g, c in grams.items() if len(g) == n}) for n in (1, 2)])
     log = lambda table, key, k: np.log((table[key].get("ab"[k] * 2, 0) + 0.5) / sum(table[x].get("ab"[k] * 2, 0) + 0.5 for x in table if len(x) == len(key)))
     words = {"the": {"aa": 8}, "der": {"bb": 8}}
     assert model.languages == ["aa", "bb"]
