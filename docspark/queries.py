@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as T
 from docspark.functions.words import META_WORDS, STOPWORDS
-from docspark.operators import answering, chunking, history, index, phrasing, retrieval, summaries
+from docspark.operators import answering, chunking, history, index, phrasing, presentation, retrieval, summaries
 from docspark.plans import ask
+from docspark.sources import files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,6 +227,37 @@ def missing_samples(spark, sf_dir):
     return _docs(spark, sf_dir).join(labelled, "doc_id", "left_anti").select("doc_id")
 
 
+def decode_fallback(spark, sf_dir):
+    """Every third text arrives in Latin-1."""
+    raw = _docs(spark, sf_dir).select("doc_id", "text", F.expr("if(doc_id % 3 = 0, encode(regexp_replace(text, '[^\\\\x00-\\\\xff]', '?'), 'ISO-8859-1'), cast(text as binary))").alias("content"))
+    return raw.select("doc_id", files.decoded().alias("text"))
+
+
+def last_assistant(spark, sf_dir):
+    return presentation.last_assistant(_messages(spark, sf_dir))
+
+
+def source_cards(spark, sf_dir):
+    """Sources as a reader sees them: badge, score bar and marked text."""
+    out = answering.answered(_gated(spark, sf_dir)).select("qid", F.explode("sources").alias("s")).select("qid", "s.*")
+    out = presentation.score_bars(presentation.badges(out))
+    return out.select("qid", "id", "badge", "bar", F.md5(F.expr(presentation.marked("text", "highlights"))).alias("marked_md5"))
+
+
+def shown_answers(spark, sf_dir):
+    out = answering.answered(_gated(spark, sf_dir))
+    return out.select("qid", F.expr(presentation.with_pages("answer", "sources")).alias("answer"))
+
+
+def summary_references(spark, sf_dir):
+    return extractive_summary(spark, sf_dir).select("doc_id", F.explode(F.expr(presentation.summary_pages("summary"))).alias("page"))
+
+
+def short_names(spark, sf_dir):
+    name = "concat(source, '_', repeat('x', cast(doc_id % 40 as int)), '.part.txt')"
+    return _docs(spark, sf_dir).select("doc_id", F.expr(presentation.short_name(name)).alias("name"), F.expr(presentation.keyword_question("source")).alias("question"))
+
+
 def document_answers(spark, sf_dir):
     """Flagship: every benchmark question over the chunks of all documents, from text to answer in one plan."""
     named = chunks(spark, sf_dir).withColumn("doc_name", F.concat(F.lit("d"), "doc_id"))
@@ -236,7 +268,7 @@ NAMES = (
     "clean_text pseudo_pages doc_dedupe sentences tokens_freq query_terms proper_terms token_spans drop_headers chunks reference_filter page_text "
     "chunks_with_names library_totals postings scope_stats df_idf bm25_topk multi_doc_fill unseen_terms gate_tier extractive_answer answer_sources "
     "cited_pages summary_request followup_terms latest_messages prev_question role_merge citation_parse keywords good_sentences extractive_summary "
-    "summary_prompt delete_document missing_samples document_answers"
+    "summary_prompt delete_document missing_samples decode_fallback last_assistant source_cards shown_answers summary_references short_names document_answers"
 ).split()
 
 
@@ -296,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
         "role_merge": f"with {_USERS}, l as (select * from (select *, row_number() over (partition by scope order by id desc) as r from msgs) where r <= 6), g as (select *, sum(new) over (partition by scope order by id) as island from (select *, case when role = lag(role) over (partition by scope order by id) then 0 else 1 end as new from l)), m as (select scope, island, role, string_agg(content, chr(10) order by id) as content from g group by all), e as (select *, min(case when role = 'user' then island end) over (partition by scope) as lo, max(island) over (partition by scope) as hi from m) select scope, row_number() over (partition by scope order by island) as nr, role, content from e where island >= lo and not (island = hi and role = 'user')",
         "citation_parse": "select doc_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') as tags, upper(trim(' not_in_document' || source)) like 'NOT_IN_DOCUMENT%' as declined from (select doc_id, source, ['P' || doc_id % 4, 'P2', 'P' || doc_id % 7] as t from documents)",
         "delete_document": "select doc_id, source from documents where doc_id not in (select doc_id from labels where toxic = 1)",
+        "last_assistant": f"with {_USERS} select scope, arg_max(content, id) as content from msgs where role = 'assistant' group by scope",
+        "short_names": "select doc_id, left(regexp_replace(source || '_' || repeat('x', (doc_id % 40)::int) || '.part.txt', '[.][^.]+$', ''), 28) as name, 'What does the document say about ' || source || '?' as question from documents",
         "missing_samples": "select doc_id from documents where doc_id not in (select doc_id from labels)",
         "bm25_topk": f"with {_PAGES}, {_POSTINGS}, q as (select qid, unnest(terms) as term, generate_subscripts(terms, 1) as pos from {asked}), df as (select term, count(*) as df from postings group by term), s as (select count(*) as n, avg(len) as a from lens), c as (select qid, pos, doc_id, idx, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / a)) as c from q join postings using (term) join df using (term) join lens using (doc_id, idx), s), r as (select qid, doc_id, idx, sum(c order by pos) as score from c group by all) select qid, n, doc_id, idx, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id, idx) as n from r) where n <= 6",
     }
