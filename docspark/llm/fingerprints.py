@@ -22,9 +22,11 @@ PARTS = 8
 LAST = (1 << 63) - 1
 #: Rows of a range of ids, about, and the number of ranges at most.
 RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
-#: Terms of a lexicon at most, 2 MB as numbers; a larger one is refused with advice. With `low` 0.001 it can't be larger
-#: while documents have 250 distinct words on average or fewer.
-MOST_TERMS = 250_000
+#: Terms that a literal set holds at most; a larger lexicon is refused with advice (it can't be with `low` 0.001 and fewer
+#: than 500 distinct words a document on average).
+MOST_TERMS = 500_000
+#: Characters of a plan's description at most.
+PLAN_CHARS = 1 << 16
 
 
 def _terms(text: str) -> str:
@@ -43,14 +45,14 @@ def lexicon(texts: DataFrame, low: float, high: float) -> list[int]:
     return sorted(found)
 
 
-def fingerprint(text: str) -> str:
-    """SQL of the fingerprint, an array of hashes (null for a sub-lexicon without terms of the text), of an SQL text, by the
-    column lexicon, which is sorted.
+def fingerprint(text: str, terms: list[int]) -> str:
+    """SQL of the fingerprint, an array of hashes (null for a sub-lexicon without terms of the text), of an SQL text.
 
     A text without a term of the lexicon is taken with all of its terms.
     """
-    known = "element_at(transform(array(array_intersect(lexicon, a)), k -> if(size(k) > 0, k, array_sort(a))), 1)"
-    sorted_terms = f"element_at(transform(array({_terms(text)}), a -> {known}), 1)"
+    known = ", ".join(f"{t}L" if t > -(1 << 63) else f"(-{LAST}L - 1L)" for t in terms) or "null"
+    inside = f"filter(a, x -> x in ({known}))"
+    sorted_terms = f"element_at(transform(array({_terms(text)}), a -> element_at(transform(array({inside}), k -> array_sort(if(size(k) > 0, k, a))), 1)), 1)"
     hashed = lambda terms: f"if(size({terms}) > 0, xxhash64(array_join(transform({terms}, x -> string(x)), ',')), null)"
     parts = [hashed("k")]
     for level, bits in enumerate((3, 5, 7)):
@@ -83,9 +85,10 @@ def fingerprints(docs: DataFrame, *, low: float = 0.001, high: float = 0.1, id_c
     key = F.coalesce("id", F.lit(LAST))
     total = rows.count()
     terms = lexicon(rows.select("text"), low, high)
-    # one row of MOST_TERMS numbers at most; as a literal it would be in every description of the plan
-    lexicons = F.broadcast(spark.createDataFrame([(0, terms)], "one int, lexicon array<long>"))
-    printed = lambda rows, text, name: rows.withColumn("one", F.lit(0)).join(lexicons, "one").withColumn(name, F.expr(fingerprint(text))).drop("one", "lexicon")
+    # the lexicon is part of the plan, and each description of the plan, of which the driver keeps many, would spell it out
+    limit = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(limit).rstrip("b")) > PLAN_CHARS:
+        spark.conf.set(limit, PLAN_CHARS)
     ranges = min(MOST_RANGES, max(1, total // RANGE_ROWS))
     edges = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 else []
     edges = sorted(set(edges or []))
@@ -96,12 +99,13 @@ def fingerprints(docs: DataFrame, *, low: float = 0.001, high: float = 0.1, id_c
     placed = rows.withColumn("key", key).withColumn("range", F.expr(f"element_at(transform(array({bound}), e -> {bisect}), 1)"))
     starts = {r.range: r.key for r in placed.groupBy("range").agg(F.min("key").alias("key")).collect()}  # one row per range
     order = sorted(starts)
-    hashed = printed(placed.withColumn("tie", F.xxhash64("text")), "text", "fp")
+    print_ = F.expr(fingerprint("text", terms))
+    hashed = placed.withColumn("tie", F.xxhash64("text")).withColumn("fp", print_)
     # the first row of each range is the next of the last row of the range before
     heads = placed.where(F.col("key").isin(list(starts.values()) or [0])).withColumn("tie", F.xxhash64("text"))
     heads = heads.withColumn("nr", F.row_number().over(Window.partitionBy("range").orderBy("key", "tie"))).where("nr = 1")
     follows = spark.createDataFrame([(order[i], order[i - 1]) for i in range(len(order))], "range long, before long")
-    heads = printed(heads.join(follows, "range"), "text", "fp").select(F.col("before").alias("range"), F.col("text").alias("head_text"), F.col("fp").alias("head_fp"))
+    heads = heads.join(follows, "range").select(F.col("before").alias("range"), F.col("text").alias("head_text"), F.expr(fingerprint("text", terms)).alias("head_fp"))
     heads = scratch.table(heads, "heads")
     own = Window.partitionBy("range").orderBy("key", "tie")
     full = hashed.withColumn("next_text", F.lead("text").over(own)).withColumn("next_fp", F.lead("fp").over(own)).join(heads, "range")
@@ -109,6 +113,6 @@ def fingerprints(docs: DataFrame, *, low: float = 0.001, high: float = 0.1, id_c
     n = F.length("text").cast("long")
     half = F.expr("cast(length(text) div 2 as int)")
     full = full.select("id", "fp", "next_fp", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    full = printed(full, "edited", "edited_fp")
+    full = full.withColumn("edited_fp", F.expr(fingerprint("edited", terms)))
     shown = lambda c: F.expr(f"array_join(transform({c}, x -> coalesce(lower(hex(x)), '-')), ' ')")
     return full.select(F.col("id").cast(kind).alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown("fp").alias("fingerprint"), shown("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
