@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking, history, phrasing
+from docspark.operators import chunking, history, phrasing, summaries
 from docspark.plans import ask
 from docspark.sources import files as sources
 from docspark.sources.store import Store
@@ -67,14 +67,16 @@ class Engine:
         full = full.withColumn("duplicate", (F.col("size") > 0) & (F.col("known").isNotNull() | (F.col("nr") != F.col("first"))))
         fresh = full.where("not duplicate").persist()
         large = fresh.where(f"size > {MAX_UPLOAD_MB} * 1048576").select("doc_id", "name", F.lit("The file is too large.").alias("error"))
-        if not fresh.isEmpty():
-            mode = phrasing.resolve(mode, self.clients)
+        mode = phrasing.resolve(mode, self.clients) if not fresh.isEmpty() else "local"
         pages, errors = sources.extracted(fresh.where(f"size <= {MAX_UPLOAD_MB} * 1048576").select("doc_id", "name", "content"), pdf_pages)
         pages, errors = pages.persist(), errors.unionByName(large)
         chunks, docs = ask.library(pages)
         none = docs.where("n_chunks = 0").join(fresh.select("doc_id", "name"), "doc_id").select("doc_id", "name", F.lit(sources.UNREADABLE).alias("error"))
         errors = errors.unionByName(none).persist()
         rows = docs.where("n_chunks > 0").join(fresh.select("doc_id", "name", "sha256"), "doc_id").withColumn("summary_mode", F.lit("extractive")).withColumn("created", F.current_timestamp())
+        if mode != "local":
+            told = phrasing.summarised(summaries.summary_prompts(pages), self.clients[mode]).withColumnRenamed("summary", "told")
+            rows = rows.join(told, "doc_id", "left").withColumn("summary_mode", F.when(F.col("told").isNotNull(), mode).otherwise(F.col("summary_mode"))).withColumn("summary", F.coalesce("told", "summary"))
         self.store.append("chunks", chunks.join(fresh.select("doc_id", F.col("name").alias("doc_name")), "doc_id"))
         self.store.append("documents", rows)
         self.invalidate()
@@ -139,4 +141,5 @@ class Engine:
         return history.latest(self.store.read("messages").where(F.col("scope") == scope), limit).orderBy("id")
 
     def clear_history(self, scope="all") -> None:
+        self.store.remember("messages", "id")
         self.store.replace("messages", history.without_scope(self.store.read("messages"), str(scope)))

@@ -86,3 +86,22 @@ def phrased(gated: DataFrame, clients: dict, turns: DataFrame | None = None) ->
     out = out.withColumn("error", F.when(F.trim("reply") == "", "The model gave an empty answer.").otherwise(F.col("error")))
     no = F.expr(declined("reply"))
     return out.select("qid", F.when(no, NOT_FOUND).otherwise(F.col("reply")).alias("reply"), F.when(no, F.expr("cast(array() as array<string>)")).otherwise(F.expr(cited("reply"))).alias("tags"), "error")
+
+
+SUMMARY_SYSTEM = "Summarise the document from the text given and nothing else: first an overview of 60 words at most, then four or five lines that begin with a bullet."
+
+
+def summarised(bodies: DataFrame, client) -> DataFrame:
+    """(doc_id, summary) of (doc_id, body); null where the model fails, so that the caller falls back silently."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc, body in zip(frame.doc_id, frame.body):
+                try:
+                    rows.append((doc, client.complete(SUMMARY_SYSTEM, [{"role": "user", "content": f"QUESTION: summarise this document.\n\n{body}"}]).strip() or None))
+                except PhrasingError:
+                    rows.append((doc, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "summary"])
+
+    return bodies.mapInPandas(run, "doc_id long, summary string")

@@ -1,4 +1,4 @@
-"""The library as three Parquet tables in one folder; each write is a new version of a table, made visible at once.
+"""The library as Parquet tables in one folder; each write is a new version of a table, made visible at once.
 
 Plain Parquet has no delete, so deletes rewrite. `current` names the version folder of each table.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SCHEMAS = {
     "documents": "doc_id long, name string, sha256 string, pages int, n_chunks int, summary string, summary_mode string, keywords array<string>, created timestamp",
     "chunks": "doc_id long, idx int, page int, text string, doc_name string",
+    "sequences": "name string, last long",
     "messages": "id long, scope string, role string, content string, meta string, created timestamp",
 }
 
@@ -44,13 +45,23 @@ class Store:
         self.replace(table, self.read(table).unionByName(rows.select(*self.read(table).columns)))
 
     def next_id(self, table: str, column: str) -> int:
-        return (self.read(table).agg(F.max(column)).first()[0] or 0) + 1
+        """An id above all that the table holds or has held."""
+        last = self.read(table).agg(F.max(column)).first()[0] or 0
+        return max(last, self.read("sequences").where(F.col("name") == table).agg(F.max("last")).first()[0] or 0) + 1
+
+    def remember(self, table: str, column: str) -> None:
+        """To be called before rows are deleted: their ids are never given again."""
+        last = self.next_id(table, column) - 1
+        others = self.read("sequences").where(F.col("name") != table)
+        self.replace("sequences", others.unionByName(self.spark.createDataFrame([(table, last)], SCHEMAS["sequences"])))
 
     def delete_document(self, doc_id: int) -> bool:
         """Deletes a document, its chunks and the messages of its own scope; tells whether it was there."""
         documents = self.read("documents")
         if documents.where(F.col("doc_id") == doc_id).isEmpty():
             return False
+        self.remember("documents", "doc_id")
+        self.remember("messages", "id")
         self.replace("messages", self.read("messages").where(F.col("scope") != str(doc_id)))
         self.replace("chunks", self.read("chunks").where(F.col("doc_id") != doc_id))
         self.replace("documents", documents.where(F.col("doc_id") != doc_id))

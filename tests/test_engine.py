@@ -89,9 +89,20 @@ def test_model_replies(engine):
     engine.clients = {}
 
 
+def test_model_summaries(engine, spark):
+    for reply, mode in (("A summary.", "openai"), (PhrasingError("no"), "extractive")):
+        engine.clients = {"openai": Client(reply)}
+        got = engine.ingest(spark.createDataFrame([("m.txt", (mode + WARFARE).encode())], "name string, content binary"), mode="openai").first()
+        doc = engine.document(got.doc_id)
+        assert doc["summary_mode"] == mode and (doc["summary"] == "A summary.") == (mode == "openai")
+        engine.delete_document(got.doc_id)
+    engine.clients = {}
+    assert engine.store.next_id("documents", "doc_id") == 5  # ids of deleted documents aren't given again
+
+
 def test_delete(engine, spark):
     engine.ask("What is radar jamming?", scope=1)
     engine.delete_document(1)
     assert [r.doc_id for r in engine.list_documents().collect()] == [2]
     assert engine.store.read("chunks").where("doc_id = 1").count() == engine.store.read("messages").where("scope = '1'").count() == 0
-    assert engine.ingest(spark.createDataFrame([("n.txt", WARFARE.encode())], "name string, content binary")).first().doc_id == 3
+    assert engine.ingest(spark.createDataFrame([("n.txt", WARFARE.encode())], "name string, content binary")).first().doc_id == 5
