@@ -33,7 +33,8 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def give_back() -> None:
     """Returns freed memory to the system. Executors bound the sum over workers, and allocators keep what large
-    temporary arrays have used; called at the end of a task, as pages given back must be fetched again."""
+    temporary arrays have used; called at the end of a task, and after each chunk where a
+    chunk takes most, though pages given back must be fetched again."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)

@@ -86,7 +86,7 @@ def send(chunk_rows: DataFrame, split: Callable[[dict], Iterator[tuple]], schema
         for row in rows_of(batches):
             if cells := list(split(row)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names=names)
-        give_back()
+            give_back()
 
     return chunk_rows.mapInArrow(run, schema)
 

@@ -208,6 +208,7 @@ def _symbol_counts(depth: int, mod: int):
                 if len(sums[0][0]) > FLUSHED // 2:
                     yield from rows(sums)
                     sums = []
+            give_back()
         if sums:
             yield from rows(sums)
         give_back()
@@ -305,6 +306,7 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
             logs = model.logs_of(units)
             add = lambda x: np.bincount(words.row, weights=x[where], minlength=size)
             out = [pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(held_out(chunk.ids, mod)), pa.array(words.counts + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(np.bincount(words.row, weights=logs[units.of_words], minlength=size) + logs[units.of_ends])]
+            give_back()
             yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         give_back()
 
