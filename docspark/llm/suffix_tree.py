@@ -11,6 +11,10 @@ the uniform one over 257 symbols. Each symbol is scored with the longest retaine
 
 A word with what precedes it is a *unit*; a chunk's distinct units are spelled and scored once. For the word scores,
 chunks send their distinct words with counts to slices of the hash, whose owners answer with the corpus counts.
+
+The tree grows with the corpus and is never in one place. It is a table in slices by the last `STEM` symbols of a context,
+so that a slice has whole branches; contexts shorter than that, which the alphabet bounds, are its *top*, and all slices
+share them. Chunks ask the owners of slices for the log10 probabilities of their distinct contexts with a symbol.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ _U = np.uint64
 BLANK, END, SYMBOLS = 0x20, 0x0A, 257
 #: Symbols of the word before that a context reaches, besides the blank.
 CROSSED = 3
-#: Entries of symbol counts that a task holds before it adds them up or sends them.
-FLUSHED = 3_000_000
+#: Symbols at the end of a context that name its slice.
+STEM = 3
+#: Entries of symbol counts that a slice's owner holds before it adds them up, and of questions that it answers at once.
+FLUSHED = 1_000_000
 #: Symbols that are scored at once.
 SCORED = 1 << 18
 
@@ -89,6 +95,7 @@ class Units:
 
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)], _U)
 _LEAD = np.array([1 << 8 * k for k in range(8)], _U)
+_SPREAD = 2654435761
 
 
 def _contexts(units: Units, depth: int) -> np.ndarray:
@@ -100,6 +107,22 @@ def _contexts(units: Units, depth: int) -> np.ndarray:
     return code[units.at] & _MASK[size] | _LEAD[size]
 
 
+def _pairs(units: Units, depth: int) -> np.ndarray:
+    """Keys of the contexts, each with the symbol that follows."""
+    return _contexts(units, depth) * _U(256) + units.symbols[units.at].astype(_U)
+
+
+def _lengths(contexts: np.ndarray) -> np.ndarray:
+    return sum((contexts >= lead).astype(np.int64) for lead in _LEAD[1:])
+
+
+def _sliced(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys by the slice of their context, and the borders of the slices in it."""
+    slices = ((pairs >> _U(8) & _MASK[STEM]) * _U(_SPREAD) & _MASK[4]) >> _U(32 - bits)
+    order = np.argsort(slices, kind="stable")
+    return order, np.searchsorted(slices[order], np.arange((1 << bits) + 1, dtype=_U))
+
+
 class SuffixTree:
     """Retained contexts with smoothed next-symbol log10 probabilities."""
 
@@ -107,7 +130,7 @@ class SuffixTree:
         self.depth = depth
         self.keys, where = np.unique(contexts.astype(_U), return_inverse=True)
         totals = np.bincount(where, weights=counts, minlength=len(self.keys))
-        self.lengths = sum((self.keys >= (_U(1) << _U(8 * k))).astype(np.int64) for k in range(1, 8))
+        self.lengths = _lengths(self.keys)
         shift = _U(8) * np.maximum(self.lengths - 1, 0).astype(_U)
         self.up = np.searchsorted(self.keys, (self.keys & ((_U(1) << shift) - _U(1))) | (_U(1) << shift)).astype(np.int64)
         self.back = np.log10(weight / (totals + weight))  # of a symbol not seen after the state: times the suffix's
@@ -137,18 +160,16 @@ class SuffixTree:
             left, state, symbol = left[on], self.up[state[on]], symbol[on]
         return out
 
-    def logs_of(self, units: Units) -> np.ndarray:
-        """log10 probabilities of units."""
+    def logs_of(self, pairs: np.ndarray) -> np.ndarray:
+        """log10 probabilities of symbols after contexts, from keys of both."""
+        logs, context = np.full(len(pairs), -np.log10(SYMBOLS)), pairs >> _U(8)
         if not len(self.keys):
-            return -np.log10(SYMBOLS) * np.bincount(units.unit, minlength=units.count)
-        # a context with a symbol is looked up once, wherever it stands in the chunk
-        keys, where = np.unique(_contexts(units, self.depth) * _U(256) + units.symbols[units.at].astype(_U), return_inverse=True)
-        logs, context = np.empty(len(keys)), keys >> _U(8)
+            return logs
         size = sum((context >= lead).astype(np.int8) for lead in _LEAD[1 : self.depth + 1])
-        for at in range(0, len(keys), SCORED):
+        for at in range(0, len(pairs), SCORED):
             part = slice(at, at + SCORED)
-            logs[part] = self._walk(self._states(context[part], size[part]), keys[part] & _U(255))
-        return np.bincount(units.unit, weights=logs[where], minlength=units.count)
+            logs[part] = self._walk(self._states(context[part], size[part]), pairs[part] & _U(255))
+        return logs
 
     def _states(self, context: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The longest retained suffix of each context of the given size."""
@@ -184,62 +205,40 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
 
 
-def _symbol_counts(depth: int, mod: int):
-    """(ctx, sym, n) of the training documents' symbols, added up over the chunks of a task while they fit."""
-
-    def rows(sums: list) -> Iterator[pa.RecordBatch]:
-        keys, n = _added(*map(np.concatenate, zip(*sums)))
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array((part >> _U(8)).astype(np.int64)), pa.array((part & _U(255)).astype(np.int32)), pa.array(n[at : at + 50_000])], names=["ctx", "sym", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
-        for row in rows_of(batches):
-            chunk = Chunk(row)
-            words = Words(chunk.data, chunk.offs, lower=True)
-            units, train = Units(chunk, words), ~held_out(chunk.ids, mod)
-            n = np.bincount(units.of_words, weights=train[words.row], minlength=units.count) + np.bincount(units.of_ends, weights=train, minlength=units.count)
-            keys = _contexts(units, depth) * _U(256) + units.symbols[units.at].astype(_U)
-            seen = n[units.unit] > 0
-            sums.append(_added(keys[seen], n[units.unit][seen]))
-            if sum(len(keys) for keys, _ in sums) > FLUSHED:
-                sums = [_added(*map(np.concatenate, zip(*sums)))]
-                if len(sums[0][0]) > FLUSHED // 2:
-                    yield from rows(sums)
-                    sums = []
-            give_back()
-        if sums:
-            yield from rows(sums)
-        give_back()
-
-    return run
-
+def _with_suffixes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of contexts with a symbol, as counts of each of their suffixes, the empty one included."""
+    length = _lengths(keys >> _U(8))
+    out, longer = [], (keys[:0], n[:0])
+    for k in range(int(length.max(initial=0)), -1, -1):
+        own = length == k
+        shorter = (longer[0] >> _U(8) & _MASK[k] | _LEAD[k]) * _U(256) + (longer[0] & _U(255))
+        longer = _added(np.concatenate([keys[own], shorter]), np.concatenate([n[own], longer[1]]))
+        out.append(longer)
+    return tuple(map(np.concatenate, zip(*out)))
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a context as counts of each of its suffixes, the empty one included."""
-    for batch in batches:
-        ctx, sym, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        ctx, parts = ctx.astype(_U), []
-        length = sum((ctx >= (_U(1) << _U(8 * k))).astype(np.int64) for k in range(1, 8))
-        for k in range(int(length.max(initial=0)) + 1):
-            here = length >= k
-            parts.append(_added(((ctx[here] & ((_U(1) << _U(8 * k)) - _U(1))) | (_U(1) << _U(8 * k))) * _U(256) + sym[here].astype(_U), n[here]))
-        if len(ctx):
-            keys, counts = _added(*map(np.concatenate, zip(*parts)))
-            yield pa.RecordBatch.from_arrays([pa.array((keys >> _U(8)).astype(np.int64)), pa.array((keys & _U(255)).astype(np.int32)), pa.array(counts)], names=["ctx", "sym", "n"])
 
+def _summed(group: pa.Table) -> pa.Table:
+    """(ctx, sym, n) of a slice: its chunks' counts added up, as counts of all suffixes."""
+    give_back()
+    sums, held, most = [(np.zeros(0, _U), np.zeros(0, np.int64))], 0, FLUSHED
+    for hashes, counts in zip(group.column("hashes"), group.column("counts")):
+        n = unpack(counts.as_py(), np.uint32).astype(np.int64)
+        sums.append((unpack_sorted(hashes.as_py())[n > 0], n[n > 0]))
+        held += len(sums[-1][0])
+        if held > most:
+            sums = [_added(*map(np.concatenate, zip(*sums)))]
+            held = len(sums[0][0])
+            most = FLUSHED + 2 * held
+    keys, n = _with_suffixes(*_added(*map(np.concatenate, zip(*sums))))
+    out = pa.table({"ctx": (keys >> _U(8)).astype(np.int64), "sym": (keys & _U(255)).astype(np.int32), "n": n})
+    give_back()
+    return out
 
-def grown_tree(counts: DataFrame, scratch: Scratch, *, depth: int, min_gain: float, max_states: int, weight: float) -> SuffixTree:
-    """Grows the tree from counts (ctx, sym, n) of the longest contexts.
 
-    The model that goes to the driver and to executors has at most `max_states` diverging contexts and their suffixes;
-    beyond that, those with the largest gains are taken.
-    """
-    schema = "ctx long, sym int, n long"
-    # tasks have added up their counts: a partial aggregation before the exchange would find nothing to add
-    total = counts.repartition("ctx").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
-    full = scratch.table(total.mapInArrow(_suffixes, schema).groupBy("ctx", "sym").agg(F.sum("n").alias("n")), "contexts")
+def grown_tree(counts: DataFrame, scratch: Scratch, *, min_gain: float) -> DataFrame:
+    """The tree as a table (ctx, sym, n): all contexts that diverge and their suffixes. Grown from counts (ctx, sym, n) of
+    all contexts, which may be in several parts."""
+    full = scratch.table(counts.groupBy("ctx", "sym").agg(F.sum("n").alias("n")), "contexts")
     # a key in hexadecimal is a leading one and two digits per symbol
     suffix = "(ctx & (shiftleft(1L, 8 * {k}) - 1)) + shiftleft(1L, 8 * {k})"
     up = F.expr(suffix.format(k="cast(length(hex(ctx)) div 2 - 1 as int)"))
@@ -248,19 +247,41 @@ def grown_tree(counts: DataFrame, scratch: Scratch, *, depth: int, min_gain: flo
     parent = own.select(F.col("ctx").alias("up"), "sym", F.col("n").alias("pn"), F.col("t").alias("pt"))
     gains = own.where("ctx > 1").withColumn("up", up).join(parent, ["up", "sym"])
     gains = gains.groupBy("ctx").agg(F.sum(F.expr("n * ln((n / t) / (pn / pt))")).alias("gain")).where(F.col("gain") >= min_gain)
-    gains = scratch.table(gains, "gains")
-    many = gains.count()
-    if many > max_states:
-        least = gains.agg(F.percentile_approx("gain", 1 - max_states / many, 10_000)).first()[0]
-        gains = gains.where(F.col("gain") > least)
     kept = gains.select("ctx").unionAll(gains.sparkSession.range(1, 2).select(F.col("id").alias("ctx")))
     shorter = F.expr(f"transform(sequence(0, cast(length(hex(ctx)) div 2 as int)), k -> {suffix.format(k='k')})")
     kept = kept.select(F.explode(shorter).alias("ctx")).distinct()
-    model = full.join(kept, "ctx", "left_semi").toArrow()
-    return SuffixTree(*(model.column(c).to_numpy() for c in ("ctx", "sym", "n")), depth, weight)
+    return scratch.table(full.join(kept, "ctx", "left_semi"), "tree")
+
 
+def answered(tree: DataFrame, asked: DataFrame, bits: int, *, depth: int, weight: float) -> DataFrame:
+    """(slice, chunk, blob): log10 probabilities for the keys in `hashes` of (slice, chunk, hashes), in their order."""
+    first = int(_LEAD[STEM])
+    top = tree.where(F.col("ctx") < first).toArrow()
+    names = ("ctx", "sym", "n")
+    shared = tree.sparkSession.sparkContext.broadcast([top.column(c).to_numpy() for c in names])
+    place = F.expr(f"cast(shiftright(((ctx & {first - 1}) * {_SPREAD}) % {1 << 32}, {32 - bits}) as int)")
+    branches = tree.where(F.col("ctx") >= first).withColumn("slice", place)
 
-def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0, max_states: int = 100_000, weight: float = 8.0, mod: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(branch: pa.Table, questions: pa.Table) -> pa.Table:
+        give_back()
+        own = SuffixTree(*(np.concatenate([t, branch.column(c).to_numpy()]) for t, c in zip(shared.value, names)), depth, weight)
+        blobs, keys, held = [], [], 0
+        for i, blob in enumerate(questions.column("hashes"), 1):
+            keys.append(unpack_sorted(blob.as_py()))
+            held += len(keys[-1])
+            if held > FLUSHED or i == questions.num_rows:
+                distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+                ends = np.cumsum([len(k) for k in keys])[:-1]
+                blobs += map(pack, np.split(own.logs_of(distinct)[where], ends))
+                keys, held = [], 0
+        out = pa.table({"slice": questions.column("slice"), "chunk": questions.column("chunk"), "blob": pa.array(blobs, pa.binary())})
+        give_back()
+        return out
+
+    return branches.groupBy("slice").cogroup(asked.groupBy("slice")).applyInArrow(run, "slice int, chunk long, blob binary")
+
+
+def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0, weight: float = 8.0, mod: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`.
 
     Training documents are those whose crc32 of the decimal id isn't 0 modulo `mod`. base_score adds
@@ -280,22 +301,32 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
     def ask(row: dict) -> Iterator[tuple]:
         chunk = Chunk(row)
         words, hashed, where = _distinct(chunk)
-        counts = np.bincount(where, weights=~held_out(chunk.ids, mod)[words.row], minlength=len(hashed)).astype(np.uint32)
+        train = ~held_out(chunk.ids, mod)
+        counts = np.bincount(where, weights=train[words.row], minlength=len(hashed)).astype(np.uint32)
         border = cuts(hashed, bits)
         for part in np.flatnonzero(np.diff(border)):
             own = slice(border[part], border[part + 1])
             yield int(part), chunk.key, pack_sorted(hashed[own]), pack(counts[own])
+        units = Units(chunk, words)
+        n = np.bincount(units.of_words, weights=train[words.row], minlength=units.count) + np.bincount(units.of_ends, weights=train, minlength=units.count)
+        pairs, where = np.unique(_pairs(units, depth), return_inverse=True)
+        counts = np.bincount(where, weights=n[units.unit], minlength=len(pairs)).astype(np.uint32)
+        order, border = _sliced(pairs, bits)
+        for part in np.flatnonzero(np.diff(border)):
+            own = order[border[part] : border[part + 1]]
+            yield -1 - int(part), chunk.key, pack_sorted(pairs[own]), pack(counts[own])
 
-    asked = send(texts, ask, "slice int, chunk long, hashes binary, counts binary")
-    told = scratch.table(asked.groupBy("slice").applyInArrow(_owner, "slice int, chunk long, blob binary, a long, b long"), "told")
+    # slices of words from 0, slices of contexts with a symbol as -1 and below
+    asked = scratch.table(send(texts, ask, "slice int, chunk long, hashes binary, counts binary"), "asked")
+    about = asked.where("slice < 0").withColumn("slice", F.expr("-1 - slice"))
+    told = scratch.table(asked.where("slice >= 0").groupBy("slice").applyInArrow(_owner, "slice int, chunk long, blob binary, a long, b long"), "told")
     sums = told.agg(F.sum("a"), F.sum("b")).first()
     n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
-    counts = texts.mapInArrow(_symbol_counts(depth, mod), "ctx long, sym int, n long")
-    tree = grown_tree(counts, scratch, depth=depth, min_gain=min_gain, max_states=max_states, weight=weight)
-    shared = spark.sparkContext.broadcast(tree)
+    counts = about.groupBy("slice").applyInArrow(_summed, "ctx long, sym int, n long")
+    tree = grown_tree(counts, scratch, min_gain=min_gain)
+    logs = answered(tree, about.select("slice", "chunk", "hashes"), bits, depth=depth, weight=weight)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         log = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         for row in rows_of(batches):
             chunk = Chunk(row)
@@ -303,13 +334,16 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
             counts = np.concatenate([unpack(b, np.uint64) for b in by_slice(row["counts"])] or [np.zeros(0, np.uint64)]).astype(np.float64)
             size = len(chunk.ids)
             units = Units(chunk, words)
-            logs = model.logs_of(units)
+            pairs, asked_at = np.unique(_pairs(units, depth), return_inverse=True)
+            found = np.empty(len(pairs))
+            found[_sliced(pairs, bits)[0]] = np.concatenate([unpack(b, np.float64) for b in by_slice(row["logs"])])
+            logs = np.bincount(units.unit, weights=found[asked_at], minlength=units.count)
             add = lambda x: np.bincount(words.row, weights=x[where], minlength=size)
             out = [pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(held_out(chunk.ids, mod)), pa.array(words.counts + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(np.bincount(words.row, weights=logs[units.of_words], minlength=size) + logs[units.of_ends])]
             give_back()
             yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         give_back()
 
-    full = texts.join(answers(told.where("chunk is not null"), "counts"), "chunk", "left")
+    full = texts.join(answers(told.where("chunk is not null"), "counts"), "chunk", "left").join(answers(logs, "logs"), "chunk", "left")
     out = full.mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -85,3 +86,13 @@ def test_edge_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     alone = suffix_tree_scores(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
     assert (alone.n_known, alone.train_tokens) == (0, 0) and alone.score == pytest.approx(-4 * math.log10(SYMBOLS))
+
+
+def test_keeps_every_context_that_diverges(spark):
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(33, 127) if not 65 <= c <= 90]
+    words = ["".join(rng.choices(signs, k=8)) for _ in range(22_000)]
+    rows = [(i, " ".join(words[k : k + 500])) for i, k in enumerate([*range(0, 22_000, 500)] * 2)]
+    # more than 100,000 contexts of 3 symbols diverge
+    found = suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string"), depth=3).collect()
+    check(rows, found, depth=3)
