@@ -121,7 +121,7 @@ def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", found_co
     pattern, text = _text(PATTERN), f"`{text_col}`"
     tokens = f"regexp_extract_all({text}, {pattern}, 0)"
     work = f"named_struct('t', {tokens}, 'r', transform({tokens}, t -> {_replaced('t', key)}))"
-    looked = F.expr(f"case when {text} rlike '[0-9]' then {work} end")
+    looked = F.expr(f"case when {text} rlike '[0-9@]' then {work} end")
     name = "_" + "_".join(docs.columns)  # no column has this name
     joined = f"array_join(zip_with(split({text}, {pattern}, -1), `{name}`.r, (g, t) -> concat(g, coalesce(t, ''))), '')"
     out = docs.withColumn(name, looked)

@@ -127,3 +127,11 @@ def test_documents_and_columns(spark):
     some = spark.createDataFrame([(1, "a@b.cd", "x")], "id long, text string, _id_text_t string")
     assert pseudonymised(some, KEY).columns == some.columns
     assert pseudonymised(docs.limit(0), KEY).count() == 0
+
+
+def test_finds_emails_in_texts_without_digits(spark):
+    texts = ["write to jane.doe@mail.example.com", "write to jane.doe@mail.example.com by 5", "no address @ all"]
+    got = run(spark, texts)
+    assert got == [brute(t) for t in texts] and "jane.doe" not in got[0] and got[1] == got[0] + " by 5"
+    counted = pseudonymised(spark.createDataFrame([(texts[0],)], "text string"), KEY, found_col="found", changed_col="changed").first()
+    assert (counted.found, counted.changed) == (1, 1)
