@@ -5,7 +5,11 @@ of equal numbers of words. Slot t of the mix takes the point frac(t * golden rat
 targets, and the slots of a source, ranked by t, take its blocks in turn, beginning anew after the last. Places in the
 stream come from two levels of running sums: over 4096 parts of the shuffled order, and within a part.
 
-Only built-in functions of DataFrames are used. The schedule has about SLOTS slots for any size of the corpus.
+Blocks have a share 1 / SLOTS of the corpus, but at most 1 / GRAIN of their source, so that small sources come near their
+targets too; a source with smaller blocks has a larger part of the points in turn.
+
+Only built-in functions of DataFrames are used. The schedule has about SLOTS slots for any size of the corpus, and up to
+6 * GRAIN more for each source with smaller blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from docspark.llm.scratch import Scratch
 #: Words are runs of other characters than blank and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = 1 << 20
+#: Blocks that a source has at least, if it has as many words.
+GRAIN = 1 << 10
 CYCLE = (5, 2, 1)
 #: 2**32 / golden ratio: slot t has the point (t * GOLDEN mod 2**32) / 2**32.
 GOLDEN = 2654435769
@@ -30,13 +36,14 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size"))
 
 
-def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = 3) -> DataFrame:
-    """(nr, source, source_size, target, first, last, total) per source: 100 % of all words shared by weight.
+def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = 3, slots: int = SLOTS) -> DataFrame:
+    """(nr, source, source_size, target, first, last, total, block, slots) per source: 100 % of all words shared by weight.
 
     Sources by code point, null last, take the weights in turn. A target stops at `most` times the source's words, and the
     rest is shared by weight until none is above: sources are filled in the order of cap over weight, and the level is
-    the first that leaves the next one below its cap. first and last are the source's part of [0, 2**32). One row per
-    source meets in one task here, never a document.
+    the first that leaves the next one below its cap. first and last are the source's part of [0, 2**32), in proportion to
+    its target in blocks of `block` words; `slots` is the length of the schedule. One row per source meets in one task
+    here, never a document.
     """
     weight = F.expr(f"element_at(array({', '.join(map(str, cycle))}), cast((nr - 1) % {len(cycle)} + 1 as int))")
     table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -49,23 +56,26 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int =
     fits = F.when(F.expr(f"level <= {most} * source_size / weight"), F.col("level"))
     table = table.withColumn("level", F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     table = table.withColumn("target", F.least(F.expr(f"cast({most} * source_size as double)"), F.col("weight") * F.col("level")))
-    units = F.round(F.col("target") * 1000).cast("long")
+    table = table.withColumn("base", F.expr(f"greatest(1, total div {slots})")).withColumn("block", F.expr(f"greatest(1, least(base, source_size div {GRAIN}))"))
+    more = F.ceil(F.sum(F.expr("target * (1 / block - 1 / base)")).over(whole))
+    table = table.withColumn("slots", (F.expr("(total + base - 1) div base") + more).cast("long"))
+    units = F.round(F.col("target") * 1000 * (F.col("base") / F.col("block"))).cast("long")
     upto = F.sum(units).over(Window.orderBy("nr").rowsBetween(Window.unboundedPreceding, 0))
     edge = lambda x: F.floor(x / F.sum(units).over(whole).cast("double") * (1 << 32)).cast("long")
     some = F.col("total") > 0
-    return table.select("nr", "source", "source_size", "target", F.when(some, edge((upto - units).cast("double"))).otherwise(0).alias("first"), F.when(some, edge(upto.cast("double"))).otherwise(0).alias("last"), "total")
+    return table.select("nr", "source", "source_size", "target", F.when(some, edge((upto - units).cast("double"))).otherwise(0).alias("first"), F.when(some, edge(upto.cast("double"))).otherwise(0).alias("last"), "total", "block", "slots")
 
 
-def block_schedule(targets: DataFrame, total: int, *, slots: int = SLOTS, most: int = 3) -> DataFrame:
-    """(slot, nr, block, turn): the mix as a sequence of blocks. A block has max(1, total // slots) words."""
-    spark, block = targets.sparkSession, max(1, total // slots)
+def block_schedule(targets: DataFrame, slots: int, *, most: int = 3) -> DataFrame:
+    """(slot, nr, block, turn): the mix as a sequence of blocks, of the size that the source's row names."""
+    spark = targets.sparkSession
     point = F.expr(f"(id * {GOLDEN}) % {1 << 32}")
-    points = spark.range(-(-total // block)).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.expr(f"point div {_CELL}"))
-    parts = targets.where("last > first").select("nr", "source_size", "first", "last", F.explode(F.expr(f"sequence(first div {_CELL}, (last - 1) div {_CELL})")).alias("cell"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.expr(f"point div {_CELL}"))
+    blocks = F.expr("(source_size + block - 1) div block").alias("blocks")
+    parts = targets.where("last > first").select("nr", blocks, "first", "last", F.explode(F.expr(f"sequence(first div {_CELL}, (last - 1) div {_CELL})")).alias("cell"))
     taken = points.join(parts, "cell").where("first <= point and point < last")
     rank = (F.row_number().over(Window.partitionBy("nr").orderBy("slot")) - 1).cast("long")
-    blocks = F.expr(f"(source_size + {block - 1}) div {block}")
-    return taken.select("slot", "nr", rank.alias("rank"), blocks.alias("blocks")).where(f"rank < {most} * blocks").select("slot", "nr", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("turn"))
+    return taken.select("slot", "nr", rank.alias("rank"), "blocks").where(f"rank < {most} * blocks").select("slot", "nr", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("turn"))
 
 
 def placed(sizes: DataFrame) -> DataFrame:
@@ -88,15 +98,14 @@ def mixed(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, slo
     """
     scratch = Scratch(docs.sparkSession)
     sizes = scratch.table(sized(docs, id_col, text_col, source_col), "sizes")
-    targets = scratch.table(source_targets(sizes, cycle, most), "targets")
-    total = (targets.agg(F.max("total")).first()[0]) or 0
-    block = max(1, total // slots)
-    rows = sizes.join(targets.select("nr", "source_size", "target", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).select("id", "nr", "source_size", "target", "size")
+    targets = scratch.table(source_targets(sizes, cycle, most, slots), "targets")
+    length = targets.agg(F.max("slots")).first()[0] or 0
+    rows = sizes.join(targets.select("nr", "source_size", "target", F.col("block").alias("words_a_block"), F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).select("id", "nr", "source_size", "target", "words_a_block", "size")
     rows = scratch.table(rows, "rows")
-    times = block_schedule(targets, total, slots=slots, most=most).groupBy("nr", "block").agg(F.count("*").alias("times"))
+    times = block_schedule(targets, length, most=most).groupBy("nr", "block").agg(F.count("*").alias("times"))
     full = placed(rows.where("size > 0"))
-    parts = full.withColumn("block", F.explode(F.expr(f"sequence(place div {block}, (place + size - 1) div {block})")))
-    parts = parts.withColumn("words", F.expr(f"least((block + 1) * {block}, place + size) - greatest(block * {block}, place)"))
+    parts = full.withColumn("block", F.explode(F.expr("sequence(place div words_a_block, (place + size - 1) div words_a_block)")))
+    parts = parts.withColumn("words", F.expr("least((block + 1) * words_a_block, place + size) - greatest(block * words_a_block, place)"))
     taken = parts.join(times, ["nr", "block"], "left").groupBy("nr", "place", "id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     columns = ["id", "size", "source_size", "target", "taken"]
     out = taken.select(columns).unionAll(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))

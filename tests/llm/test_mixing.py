@@ -68,3 +68,13 @@ def test_edge_rows(spark):
     none = mixed(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")).collect()
     assert [tuple(r) for r in none] == [(1, 0, 0, 0.0, 0)]
     assert mixed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_small_sources_come_near_their_targets_in_a_large_corpus(spark):
+    # blocks of the whole corpus would have 4,700 words, as at 5e9 words with the usual number of slots
+    rows = [(i, "w " * 20_000, "big") for i in range(24)] + [(100 + i, "w " * 100, "a tiny") for i in range(10)] + [(200 + i, "w " * 60, "small") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixed(docs, slots=104).collect()
+    for first, last in ((0, 24), (100, 110), (200, 300)):
+        own = [r for r in got if first <= r.doc_id < last]
+        assert all(r.taken <= 3 * r.size for r in own) and sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.02)
