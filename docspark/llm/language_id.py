@@ -21,10 +21,9 @@ from docspark.llm.kernels import Words, chunks, give_back
 from docspark.llm.scratch import Scratch
 
 UNKNOWN = "und"
-#: Words whose sums a worker keeps; beyond it the store is emptied, which costs time only.
-KEPT = 100_000
-#: Languages of a model at most.
-MOST_LANGUAGES = 1000
+#: Words whose sums a worker keeps, fewer if they have more than KEPT_SUMS sums; beyond it the store is emptied, which costs
+#: time only.
+KEPT, KEPT_SUMS = 100_000, 10_000_000
 
 
 def _core(word: str) -> str:
@@ -125,7 +124,7 @@ def learned(docs: DataFrame, scratch: Scratch, *, max_documents: int = 20_000, m
         order = np.argsort(np.array(words.dictionary.to_pylist(), object)) if len(rows) else np.zeros(0, np.int64)
         return words.dictionary.take(pa.array(order)).to_pylist(), out[order]
 
-    languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGUAGES).collect())
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     grams = counts.mapInArrow(gram_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     grams = scratch.table(grams, "grams")
     tables = [common(grams.where(F.length("word") == size), max_grams) for size in range(1, order + 1)]
@@ -142,7 +141,8 @@ class Identifier:
     def __init__(self, model: LanguageModel):
         self.model, self.names = model, np.array([*model.languages, UNKNOWN], object)
         self.rows: dict[int, int] = {}
-        self.sums = np.zeros((KEPT, len(model.languages)))
+        self.kept = max(1, min(KEPT, KEPT_SUMS // max(1, len(model.languages))))
+        self.sums = np.zeros((self.kept, len(model.languages)))
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score) of the texts of a chunk."""
@@ -153,7 +153,7 @@ class Identifier:
         for i, key in enumerate(hashed.tolist()):
             row = self.rows.get(key)
             if row is None:
-                if len(self.rows) >= KEPT:
+                if len(self.rows) >= self.kept:
                     self.rows.clear()
                 row = self.rows[key] = len(self.rows)
                 self.sums[row] = self.model.word(raw[starts[i] : ends[i]].lower().decode("utf-8", "replace"))

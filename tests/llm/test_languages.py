@@ -47,3 +47,10 @@ def test_edge_rows(spark):
     nothing = languages(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
     assert [tuple(r) for r in nothing] == [(1, False, "und", 0.0)]
     assert languages(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_learns_all_labels(spark):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2][:1100]
+    rows = [(i, f"w{i}x w{i}x", f"label {i}") for i in ids]
+    got = languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: label for i, _, label in rows}
