@@ -106,7 +106,7 @@ def learned(docs: DataFrame, scratch: Scratch, *, max_documents: int = 20_000, m
         for batch in batches:
             found: Counter = Counter()
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                if core := _core(word).lower()[:200] if any(map(str.isalpha, word)) else "":
+                if core := _core(word).lower() if any(map(str.isalpha, word)) else "":
                     for size in range(1, order + 1):
                         for gram in _grams(core, size):
                             found[lang, gram] += n

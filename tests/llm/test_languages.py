@@ -54,3 +54,9 @@ def test_learns_all_labels(spark):
     rows = [(i, f"w{i}x w{i}x", f"label {i}") for i in ids]
     got = languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {i: label for i, _, label in rows}
+
+
+def test_learns_from_whole_words(spark):
+    rows = [(1, "k" * 250 + "zq" * 50, "aa"), (3, "k" * 250 + "vw" * 50, "bb"), (4, "zqzq", None), (5, "vwvw", None)]
+    got = {r.doc_id: r.lang_pred for r in languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[4], got[5]) == ("aa", "bb")
