@@ -1,8 +1,9 @@
 """Vectorised kernels over Arrow text columns, shared by the corpus operators.
 
 A *chunk* is a run of whole documents of about CHUNK_BYTES of UTF-8. Words are runs of bytes other than 0x20 and
-0x09-0x0D, found on the bytes of a whole chunk at once; a word's hash comes from prefix sums of a polynomial modulo
-2**64, so no Python loop touches words. Hashes depend on the fixed seeds below only, never on the machine or the run.
+0x09-0x0D, found on the bytes of a whole chunk at once; a word's hash comes from prefix sums of polynomials modulo two
+primes below 2**32, so no Python loop touches words. (Modulo 2**64 regular words, as the Thue-Morse ones, would collide
+whatever the base.) Hashes depend on the fixed seeds below only, never on the machine or the run.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_TABLES = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+#: The two largest primes below 2**32, each with the base of its polynomial.
+_PRIMES = ((4294967291, 2654435769), (4294967279, 1779033703))
+#: A number for each byte, by family and prime.
+_TABLES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 4294967279, (2, 2, 256), dtype=np.uint64)
 _COEFFS = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, (2, 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 try:
     _LIBC = ctypes.CDLL(None)
 except OSError:  # a platform without dynamic symbols
     _LIBC = None
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
 
 
 def give_back() -> None:
@@ -50,15 +53,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept for the largest chunk so far."""
-    if len(_POWERS.get("up", ())) < n:
+def _power_table(base: int, prime: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint32)
+    done = 1
+    while done < size:
+        more = min(done, size - done)
+        out[done : done + more] = out[:more].astype(np.uint64) * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += more
+    return out
+
+
+def _powers(n: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+    """(prime, powers of the base, powers of its inverse) of both primes, kept for the largest chunk so far."""
+    if not _POWERS or len(_POWERS[0][1]) < n:
         size = max(n, CHUNK_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"]
+        _POWERS[:] = [(np.uint64(p), _power_table(b, p, size), _power_table(pow(b, -1, p), p, size)) for p, b in _PRIMES]
+    return _POWERS
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +92,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
 
 
 class Words:
-    """Words of a chunk: starts and ends in bytes, row of each word, one or two families of 64-bit hashes."""
+    """Words of a chunk: starts and ends in bytes, row of each word, up to two families of 64-bit hashes."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, *, lower: bool = False, families: int = 1):
         n = len(data)
@@ -100,17 +110,19 @@ class Words:
         self.starts = np.flatnonzero(first & ~space)
         self.ends = np.flatnonzero(last & ~space) + 1
         self.row = np.searchsorted(offs, self.starts, "right") - 1
-        fold = _LOWER[data] if lower else data
-        up, down = _powers(n)
+        fold = _LOWER[data] if lower and families else data
         length = (self.ends - self.starts).astype(np.uint64) * _GOLD
+        sums = np.zeros(n + 1 if families else 0, np.uint64)
         self.hashes = []
-        for table in _TABLES[:families]:
-            value = table[fold]
-            value *= up
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(value, out=sums[1:])
-            self.hashes.append(mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + length))
+        for tables in _TABLES[:families]:
+            key = np.zeros(len(self.starts), np.uint64)
+            for table, (prime, up, down) in zip(tables, _powers(n)):
+                value = table[fold]
+                value *= up[:n]
+                value %= prime
+                np.cumsum(value, out=sums[1:])
+                key = key << np.uint64(32) | (sums[self.ends] - sums[self.starts]) % prime * down[self.starts] % prime
+            self.hashes.append(mix(key + length))
 
     @property
     def counts(self) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from docspark.llm.components import components
 from docspark.llm.kernels import Words, chunks, give_back, mix, pack, pack_sorted, shingle_sets, unpack, unpack_sorted
 from docspark.llm.packed import Chunk, answers, by_slice, chunk_table, cuts, send, slice_bits
-from docspark.llm.scratch import Scratch
+from docspark.llm.scratch import Scratch, integer_id
 
 _U = np.uint64
 _STEP, _OTHER = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7)
@@ -149,7 +149,7 @@ def overlapping(texts: DataFrame, rest: DataFrame, scratch: Scratch, *, size: in
     texts: (id, text) of the rows of rest: (id, root). A chunk asks the owners of hash slices how many of the texts have
     each of its shingles, orders every set by that number, and sends the prefix; shingles of one text only can't be shared.
     """
-    table = chunk_table(texts, scratch, lambda data, offs: len(Words(data, offs).row), "rest-chunks")
+    table = chunk_table(texts, scratch, lambda data, offs: len(Words(data, offs, families=0).row), "rest-chunks")
     bits = slice_bits(table.agg(F.sum("words")).first()[0] or 0)
 
     def ask(row: dict) -> Iterator[tuple]:
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, places
     spark = docs.sparkSession
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = docs.select(integer_id(docs, id_col), docs[text_col].cast("string").alias("text"))
     signed = scratch.table(signatures(texts, size=size, places=places, bands=bands), "signed")
     full = signed.where("n_shingles > 0 and id is not null")
     same = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"))

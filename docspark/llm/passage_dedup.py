@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.kernels import Words, give_back, mix, pack, pack_sorted, unpack, unpack_sorted
 from docspark.llm.packed import NO_ID, Chunk, answers, by_slice, chunk_table, cuts, rows_of, send, slice_bits
-from docspark.llm.scratch import Scratch
+from docspark.llm.scratch import Scratch, integer_id
 
 _U = np.uint64
 _ROW_SEEDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 8, dtype=np.uint64)
@@ -76,8 +76,8 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
     spark = docs.sparkSession
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    table = chunk_table(rows, scratch, lambda data, offs: int(np.maximum(Words(data, offs).counts - size + 1, 0).sum()))
+    rows = docs.select(integer_id(docs, id_col), docs[text_col].cast("string").alias("text"))
+    table = chunk_table(rows, scratch, lambda data, offs: int(np.maximum(Words(data, offs, families=0).counts - size + 1, 0).sum()))
     total = table.agg(F.sum("words")).first()[0] or 0
     bits = slice_bits(total)
     width = min(63, max(bits + 1, ceil(log2(max(2, cells_per_window * total)))))
