@@ -1,10 +1,12 @@
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from docspark.llm import fingerprints as module
-from docspark.llm.fingerprints import PARTS, fingerprints, lexicon
+from docspark.llm.fingerprints import PARTS, fingerprints, lexicon, ranged
 
 
 def edited(rows):
@@ -53,3 +55,42 @@ def test_edge_rows(spark):
     one = fingerprints(spark.createDataFrame([(1, "abc d")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcab").hexdigest() and one.near_next == 1.0
     assert fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_an_id_that_repeats_fills_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(module, "RANGE_ROWS", 10)
+    rows = [(i, f"text {i}") for i in range(30)] + [(30, f"copy {k}") for k in range(120)] + [(None, f"none {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed = ranged(docs.selectExpr("doc_id id", "text"), len(rows) // 10).collect()
+    parts = Counter(r.range for r in placed)
+    assert max(parts.values()) < 40 and len(parts) > 8
+    order = sorted(placed, key=lambda r: (r.key, r.tie))
+    assert [r.range for r in order] == sorted(r.range for r in placed)
+    got = Counter((r.n_chars, r.edited_sha256) for r in fingerprints(docs).collect())
+    assert got == Counter(edited([(k, r.text) for k, r in enumerate(order)]).values())
+
+
+def test_fingerprints_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    words = {i: {re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)} for i, t in texts.items()}
+    counts = Counter(w for own in words.values() for w in own)
+    n = len(texts)
+    known = {w for w, c in counts.items() if max(1, 0.001 * n) <= c <= max(1, 0.1 * n)}
+    # Spark's own hashes of words, of hashes with the number of a sub-lexicon, and of joined texts
+    term = {r.w: r.h for r in spark.createDataFrame([(w,) for w in counts], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    bits = {r.h: r.b for r in spark.createDataFrame([(term[w],) for w in known], "h long").selectExpr("h", f"transform(sequence(0, {3 * PARTS - 1}), k -> xxhash64(h, k)) b").collect()}
+    lists = {}
+    for i, own in words.items():
+        inside = sorted(term[w] for w in own if w in known) or sorted(term[w] for w in own)
+        parts = [inside] + [[t for t in inside if t in bits and bits[t][level * PARTS + part] & ((1 << size) - 1) == 0] for level, size in enumerate((3, 5, 7)) for part in range(PARTS)]
+        lists[i] = parts if any(t in bits for t in inside) else None  # texts without known terms are in another test
+    joined = sorted({",".join(map(str, p)) for parts in lists.values() if parts for p in parts if p})
+    shown = {r.t: r.h for r in spark.createDataFrame([(t,) for t in joined], "t string").selectExpr("t", "lower(hex(xxhash64(t))) h").collect()}
+    got = {r.doc_id: r.fingerprint for r in fingerprints(docs).collect()}
+    checked = 0
+    for i, parts in lists.items():
+        if parts:
+            checked += 1
+            assert got[i] == " ".join(shown[",".join(map(str, p))] if p else "-" for p in parts)
+    assert checked > 100
