@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import _GOLD, _LOWER, _SPACE, Index, chunks
+from docspark.llm.kernels import _GOLD, _LOWER, _SPACE, Index, chunks, give_back
 
 _U = np.uint64
 _FOLD = _LOWER.copy()
 _FOLD[_SPACE] = 0x20
 #: Bytes of items that one broadcast model holds; more items are taken in so many passes over the texts.
 BLOCK_BYTES = 2 << 20
-#: Candidates that are aligned at once.
-ALIGNED = 2000
+#: Shared q-grams (a place in a text with one in an item) that are counted at once.
+POSTINGS = 1 << 21
+#: Cells of alignments, and bytes of their items, that are held at once.
+CELLS, PATTERNS = 1 << 19, 1 << 24
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -81,23 +83,42 @@ class Items:
         at = np.flatnonzero(self.seen[(grams * _GOLD) >> self.shift])
         hit, key = self.index.find(grams[at])
         at, key = at[hit], key[hit]
-        many = self.many[key]
-        steps = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        posting = np.repeat(self.first[key], many) + steps
-        at = np.repeat(at, many)
-        item = self.item[posting]
-        row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[at]
+        row = np.searchsorted(offs, at, "right") - 1
         inside = at + self.q <= offs[row + 1]  # not across two rows
-        at, item, row, posting = at[inside], item[inside], row[inside], posting[inside]
-        band = (at - self.place[posting] + int(self.size.max())) // (self.edits[item] + 1)
-        key = ((row * len(self.ids) + item) << 24) + band  # a chunk's rows and a block's items stay below 2**38
-        keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        pair, band = keys >> 24, keys & ((1 << 24) - 1)
+        at, key, row = at[inside], key[inside], row[inside]
+        # a gram that repeats in text and item is shared by all pairs of places, so these are counted in slices
+        ends = np.cumsum(self.many[key])
+        span = len(data) + int(self.size.max()) + 2  # above all numbers of bands
+        keys, counts, low, held = [], [], 0, 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + POSTINGS, "right")))
+            bands = self._bands(at[low:high], key[low:high], row[low:high], span)
+            keys.append(bands[0])
+            counts.append(bands[1])
+            held += len(bands[0])
+            if held > 2 * POSTINGS or high == len(at):
+                keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+                keys, counts = [keys], [np.bincount(where, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)]
+                held = 0
+            low = high
+        if not keys:
+            return none, none, none
+        keys, counts = keys[0], counts[0]
+        pair, band = keys // span, keys % span - 1
         row, item = pair // len(self.ids), pair % len(self.ids)
         enough = counts >= self.least[item]
         row, item, band = row[enough], item[enough], band[enough]
         return row, item, band * (self.edits[item] + 1) - int(self.size.max())
 
+    def _bands(self, at: np.ndarray, key: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item and band as one number, shared q-grams) of some places of a text."""
+        many = self.many[key]
+        posting = np.repeat(self.first[key] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        item = self.item[posting]
+        band = (np.repeat(at, many) - self.place[posting] + int(self.size.max())) // (self.edits[item] + 1) + 1
+        number = (np.repeat(row, many) * len(self.ids) + item) * span + band
+        return np.unique(np.concatenate([number, number - 1]), return_counts=True)
+
     def aligned(self, data: np.ndarray, offs: np.ndarray, row: np.ndarray, item: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fewest edits of each candidate, and where it begins and ends, by alignment within the band."""
         size, k = self.size[item], self.edits[item]
@@ -138,8 +159,13 @@ class Items:
         row, item, low = self.candidates(data, offs)
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         order = np.argsort(self.size[item], kind="stable")
-        for at in range(0, len(order), ALIGNED):
-            own = order[at : at + ALIGNED]
+        at = 0
+        while at < len(order):
+            # candidates that are aligned at once: as many as memory allows with the width and length of the longest
+            sizes, widths = self.size[item[order[at:]]], 4 * np.maximum.accumulate(self.edits[item[order[at:]]]) + 3
+            nr = np.arange(1, len(sizes) + 1)
+            own = order[at : at + max(1, int(((nr * widths <= CELLS) & (nr * sizes <= PATTERNS)).sum()))]
+            at += len(own)
             edits, begin, end = self.aligned(data, offs, row[own], item[own], low[own])
             good = np.flatnonzero(edits <= self.edits[item[own]])
             for g in good:

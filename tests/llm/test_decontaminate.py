@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from docspark.llm import decontaminate
 from docspark.llm.decontaminate import contaminated, decontaminated
 
@@ -82,3 +84,18 @@ def test_many_items_are_taken_in_blocks_and_columns_stay(spark, monkeypatch):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(docs, none).count() == 0 and decontaminated(docs, none).count() == 4
     assert contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_finds_items_at_the_end_of_texts_above_16_mib(spark):
+    docs = spark.createDataFrame([(1, "The rest. " * 1_800_000 + "abcdefgh"), (2, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "abcdefgh")], "item_id long, text string")
+    assert [tuple(r) for r in contaminated(docs, items).collect()] == [(1, 7, 18_000_000, 18_000_008, 0)]
+
+
+def test_repeating_texts_are_counted_in_slices(monkeypatch):
+    text, item = "a" * 3000 + "b" + "a" * 40, "a" * 90 + "b" + "a" * 9
+    data, offs = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    whole = decontaminate.Items([1], [item], 8, 0.1).matches(data, offs)
+    for name, value in (("POSTINGS", 1000), ("CELLS", 500), ("PATTERNS", 300)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert decontaminate.Items([1], [item], 8, 0.1).matches(data, offs) == whole and (0, 1, 2910, 3010, 0) in whole
