@@ -3,13 +3,15 @@
 Found are e-mail addresses, international phone numbers, IPv4 addresses, payment card numbers, US social security
 numbers, dates and hexadecimal tokens of 32 digits or more. Numbers and dates must be valid: cards pass the Luhn test,
 octets are below 256, dates exist between 1900 and 2099, phones have 8 to 15 digits. What is found becomes a vector of
-digits, each with its own base (10 for digits, 26 for ASCII letters, 16 in tokens, 256 for octets, 271 and 270 for the
-number of a day); an alternating Feistel network of ROUNDS rounds permutes the vectors of one shape and kind: in each
+digits, each with its own base (10 for digits, 26 for ASCII letters, 16 for other letters and digits, which stay within
+their row of 16 characters, and in tokens, 256 for octets, 271 and 270 for the number of a day); an alternating Feistel network of ROUNDS rounds permutes the vectors of one shape and kind: in each
 round the digits at even or odd places are shifted, modulo their bases, by SHA-512 of the key, kind, round and the other
 half. So a value has the same pseudonym in every document, different values have different ones, separators, case and
 length stay, cards pass the Luhn test again, and a date has the same pseudonym in any notation.
 
-Only built-in SQL functions are used. Texts without a digit or @ are passed on after one quick look.
+Only built-in SQL functions are used. Texts without a digit or @ are passed on after one quick look. The key is part of the
+plan, as SQL has no other place for it: plans and event logs are as secret as the key, or `spark.sql.redaction.string.regex`
+is set to hide it.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ PATTERNS = {
     "ip": _OPEN + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)" + _SHUT,
     "date": _OPEN + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _SHUT,
     "ssn": _OPEN + r"\d{3}-\d{2}-\d{4}(?!-?\d)" + _SHUT,
-    "token": _OPEN + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _SHUT,
+    "token": _OPEN + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _SHUT,
     "card": _OPEN + r"\d(?:[ -]?\d){12,18}" + _SHUT,
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -48,11 +50,13 @@ def permuted(values: str, bases: str, kind: str, key: str) -> str:
 
 
 def _letters(text: str, kind: str, key: str) -> str:
-    """SQL of a text whose ASCII letters and digits are permuted, each within its class; others stay."""
+    """SQL of a text whose letters and digits are permuted, each within its class; others, and letters outside the basic
+    plane of Unicode, stay."""
     chars = f"split({text}, '')"
-    values = f"transform({chars}, c -> case when c rlike '^[0-9]$' then cast(c as int) when c rlike '^[a-z]$' then ascii(c) - 97 when c rlike '^[A-Z]$' then ascii(c) - 65 else 0 end)"
-    bases = f"transform({chars}, c -> case when c rlike '^[0-9]$' then 10 when c rlike '^[a-zA-Z]$' then 26 else 1 end)"
-    shown = "case when c rlike '^[0-9]$' then string(v) when c rlike '^[a-z]$' then char(v + 97) when c rlike '^[A-Z]$' then char(v + 65) else c end"
+    wide = r"ascii(c) between 128 and 65535 and c rlike r'^[\p{L}\p{N}]$'"
+    values = f"transform({chars}, c -> case when c rlike '^[0-9]$' then cast(c as int) when c rlike '^[a-z]$' then ascii(c) - 97 when c rlike '^[A-Z]$' then ascii(c) - 65 when {wide} then ascii(c) % 16 else 0 end)"
+    bases = f"transform({chars}, c -> case when c rlike '^[0-9]$' then 10 when c rlike '^[a-zA-Z]$' then 26 when {wide} then 16 else 1 end)"
+    shown = f"case when c rlike '^[0-9]$' then string(v) when c rlike '^[a-z]$' then char(v + 97) when c rlike '^[A-Z]$' then char(v + 65) when {wide} then decode(unhex(lpad(hex(ascii(c) - ascii(c) % 16 + v), 4, '0')), 'UTF-16BE') else c end"
     return f"array_join(zip_with({chars}, {permuted(values, bases, kind, key)}, (c, v) -> {shown}), '')"
 
 
@@ -116,8 +120,10 @@ def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", found_co
 
     found_col and changed_col, where named, get the numbers of strings that look like personal data and of those replaced.
     Defined results: null stays null, empty texts and texts without personal data stay as they are; rows are never
-    dropped or moved; the key is any text without quotes, and the same key gives the same pseudonyms.
+    dropped or moved; the same key gives the same pseudonyms, and one that holds both kinds of quotes is refused.
     """
+    if "'" in key and '"' in key:
+        raise ValueError("the key must not hold both kinds of quotes")
     pattern, text = _text(PATTERN), f"`{text_col}`"
     tokens = f"regexp_extract_all({text}, {pattern}, 0)"
     work = f"named_struct('t', {tokens}, 'r', transform({tokens}, t -> {_replaced('t', key)}))"

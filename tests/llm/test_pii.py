@@ -20,7 +20,7 @@ def permuted(values, bases, kind):
 
 
 def letters(text, kind):
-    kinds = [(48, 10) if re.match("[0-9]", c) else (97, 26) if re.match("[a-z]", c) else (65, 26) if re.match("[A-Z]", c) else (ord(c), 1) for c in text]
+    kinds = [(48, 10) if re.match("[0-9]", c) else (97, 26) if re.match("[a-z]", c) else (65, 26) if re.match("[A-Z]", c) else (ord(c) // 16 * 16, 16) if 127 < ord(c) < 65536 and regex.match(r"[\p{L}\p{N}]", c) else (ord(c), 1) for c in text]
     fresh = permuted([ord(c) - low for c, (low, _) in zip(text, kinds)], [b for _, b in kinds], kind)
     return "".join(chr(v + low) for v, (low, _) in zip(fresh, kinds))
 
@@ -85,6 +85,7 @@ TEXTS = [
     None, "", "no digits", "ann.lee42@mail.example.com é.1@x.org", "+1 (017) 555-7713, +49 30 1234567", "+1 (017) 555", "1.2.3.4 300.1.1.1 1.2.3.4.5 255.255.255.255",
     "2024-02-29 2023-02-29 29.02.2024 29/02/2024 12/31/1999 31/12/1999 1899-12-31 2099-12-31", "078-05-1120 000-12-3456 666-11-2222 123-00-1234",
     "4111 1111 1111 1111, 4111111111111111; 4111-1111-1111-1111 4111111111111112", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ' + "A0" * 20,
+    "иван.петров7@example.com ÉRIC@x.org 𝒳@x.org", "key " + "0a" * 90 + " " + "b" * 200,
     "x4111111111111111 4111111111111111y 41111111111111110000", "word " * 30000 + "a1@b.cd", "$1 \\1 it's 4111111111111111 é",
 ]
 
@@ -135,3 +136,9 @@ def test_finds_emails_in_texts_without_digits(spark):
     assert got == [brute(t) for t in texts] and "jane.doe" not in got[0] and got[1] == got[0] + " by 5"
     counted = pseudonymised(spark.createDataFrame([(texts[0],)], "text string"), KEY, found_col="found", changed_col="changed").first()
     assert (counted.found, counted.changed) == (1, 1)
+
+
+def test_no_address_stays_in_clear(spark):
+    got = run(spark, ["иван@example.com", "see ÉRIC@x.org", "иван@example.com again"])
+    assert "иван" not in got[0] and "ÉRIC" not in got[1] and got[2] == got[0] + " again"
+    assert [len(g) for g in got] == [16, 14, 22] and all(0x400 <= ord(c) < 0x460 for c in got[0][:4])
