@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.scratch import Scratch
+from docspark.llm.scratch import Scratch, row_keyed
 
 #: Words are runs of other characters than blank and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,10 +30,12 @@ GOLDEN = 2654435769
 _CELL = 1 << 20
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size) with the number of words."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, hash, carried columns) with the number of words; hash shuffles by the id, or by the text where it
+    is missing."""
     size = F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size"))
+    name = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("text "), F.xxhash64(docs[text_col].cast("string")).cast("string")))
+    return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size"), F.md5(name.cast("binary")).alias("hash"), *(docs[c] for c in carry))
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = 3, slots: int = SLOTS) -> DataFrame:
@@ -78,40 +80,52 @@ def block_schedule(targets: DataFrame, slots: int, *, most: int = 3) -> DataFram
     return taken.select("slot", "nr", rank.alias("rank"), "blocks").where(f"rank < {most} * blocks").select("slot", "nr", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("turn"))
 
 
-def placed(sizes: DataFrame) -> DataFrame:
-    """(id, nr, source_size, target, size, place) of rows (id, nr, ...): place is where the document's words begin in the
-    source's shuffled stream."""
-    rows = sizes.withColumn("hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("part", F.substring("hash", 1, 3))
+def placed(sizes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, nr, source_size, target, size, place, carried columns) of rows (id, nr, hash, ...): place is where the document's
+    words begin in the source's shuffled stream."""
+    rows = sizes.withColumn("part", F.substring("hash", 1, 3))
     parts = rows.groupBy("nr", "part").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("nr").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("nr", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("nr", "part").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("nr", "part").orderBy("hash", "id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, ["nr", "part"]).withColumn("place", F.col("before") + F.col("inside")).drop("hash", "part", "before", "inside")
 
 
-def mixed(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, taken) of every row: the words of it that the mix takes, repeats counted.
+def mixed(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, source_size, target, taken, carried columns) of every row: the words of it that the mix takes, repeats
+    counted.
 
     Defined results: null and empty texts have size 0 and nothing is taken of them; a missing source is a source of its
     own, the last; rows that repeat an id are placed one after the other; without any word all targets are 0; other
     columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.table(sized(docs, id_col, text_col, source_col), "sizes")
+    sizes = scratch.table(sized(docs, id_col, text_col, source_col, carry), "sizes")
     targets = scratch.table(source_targets(sizes, cycle, most, slots), "targets")
     length = targets.agg(F.max("slots")).first()[0] or 0
-    rows = sizes.join(targets.select("nr", "source_size", "target", F.col("block").alias("words_a_block"), F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).select("id", "nr", "source_size", "target", "words_a_block", "size")
+    rows = sizes.join(targets.select("nr", "source_size", "target", F.col("block").alias("words_a_block"), F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).select("id", "nr", "source_size", "target", "words_a_block", "size", "hash", *carry)
     rows = scratch.table(rows, "rows")
     times = block_schedule(targets, length, most=most).groupBy("nr", "block").agg(F.count("*").alias("times"))
-    full = placed(rows.where("size > 0"))
+    full = placed(rows.where("size > 0"), carry)
     parts = full.withColumn("block", F.explode(F.expr("sequence(place div words_a_block, (place + size - 1) div words_a_block)")))
     parts = parts.withColumn("words", F.expr("least((block + 1) * words_a_block, place + size) - greatest(block * words_a_block, place)"))
-    taken = parts.join(times, ["nr", "block"], "left").groupBy("nr", "place", "id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    columns = ["id", "size", "source_size", "target", "taken"]
+    taken = parts.join(times, ["nr", "block"], "left").groupBy("nr", "place", "id", "size", "source_size", "target", *carry).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    columns = ["id", "size", "source_size", "target", "taken", *carry]
     out = taken.select(columns).unionAll(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
     return out.withColumnRenamed("id", id_col)
 
 
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` of which the mix takes words, all columns as they are, with size, target and taken (which stand in
+    for columns of these names). Rows are told apart by their place in the files, so repeated ones have a decision each."""
+    names = ["_file", "_place"]
+    while set(names) & set(docs.columns):
+        names = [f"_{name}" for name in names]
+    keyed = row_keyed(docs, Scratch(docs.sparkSession), tuple(names))
+    taken = mixed(keyed, carry=tuple(names), **how).where("taken > 0").select(*names, "size", "target", "taken")
+    return keyed.drop("size", "target", "taken").join(taken, names).drop(*names)
+
+
 #: The same rows in DuckDB's SQL, for the table documents.
 SQL = f"""
 with sizes as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),

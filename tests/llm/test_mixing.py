@@ -3,7 +3,7 @@ import random
 import duckdb
 import pytest
 
-from docspark.llm.mixing import SQL, mixed
+from docspark.llm.mixing import SQL, mixed, mixed_rows
 
 
 def filled(sizes, weights):
@@ -78,3 +78,16 @@ def test_small_sources_come_near_their_targets_in_a_large_corpus(spark):
     for first, last in ((0, 24), (100, 110), (200, 300)):
         own = [r for r in got if first <= r.doc_id < last]
         assert all(r.taken <= 3 * r.size for r in own) and sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.02)
+
+
+def test_rows_have_a_decision_each(spark, tmp_path):
+    rows = [(1, "a b c", "x", 9, 1), (1, "a b", "x", 9, 2), (1, "a b", "x", 9, 3), (None, "d", "x", 9, 4), (None, "e f", None, 9, 5), (2, None, "x", 9, 6), (2, "", "x", 9, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, _file int").repartition(3)
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    for table in (docs, spark.read.parquet(f"file://{tmp_path}/docs")):
+        got = sorted((r._file, r.doc_id, r.text, r.source, r.size) for r in mixed_rows(table).collect())
+        want = {n: (n, i, text, source, len(text.split())) for i, text, source, _, n in rows if text}
+        assert len({g[0] for g in got}) == len(got) and all(want[g[0]] == g for g in got)
+        full = {r._file: r.taken for r in mixed(table, carry=("_file",)).collect()}
+        assert [g[0] for g in got] == sorted(n for n, taken in full.items() if taken > 0)
+    assert set(mixed_rows(docs).columns) == {"doc_id", "text", "source", "_file", "size", "target", "taken"}
