@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.decontaminate import decontaminated
 from docspark.llm.language_id import is_held_out, learned, recognised
-from docspark.llm.mixing import mixed
+from docspark.llm.mixing import mixed_rows
 from docspark.llm.near_dedup import near_duplicates
 from docspark.llm.pii import pseudonymised
 from docspark.llm.scratch import Scratch
@@ -51,9 +51,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixed(docs.select("doc_id", "text", "source")).where("taken > 0").select(F.col("doc_id").alias("_taken_doc_id"), "size", "target", "taken")
-    taken = taken.dropDuplicates(["_taken_doc_id", "size", "target"])
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken_doc_id"])).drop("_taken_doc_id")
+    return mixed_rows(docs)
 
 
 STAGES = [("language", language), ("near_dups", near_dups), ("benchmark", benchmark), ("pii", pii), ("mixing", mixing)]
