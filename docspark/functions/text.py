@@ -1,7 +1,8 @@
 """Text functions as SQL expressions over SQL expressions.
 
 Each takes and returns SQL text, so that they nest inside lambdas. `let` binds a value once: a column that is inlined into
-a lambda by the optimizer would else be computed for each element.
+a lambda by the optimizer would else be computed for each element. Work on tokens stays inside lambdas: as columns it would
+make generated methods too long for the JVM to compile.
 """
 
 from __future__ import annotations
@@ -70,13 +71,29 @@ def stem(word: str) -> str:
     return let("v", bare, f"if(length(v) <= 3 or v rlike '^\\\\p{{Nd}}+$', v, {shorter})")
 
 
+def stemmed(word: str) -> str:
+    """The stem of a word of a fixed list, as `stem` gives it, without a query."""
+    word = word.strip("'-").removesuffix("'s")
+    if len(word) <= 3 or word.isdecimal():
+        return word
+    suffix, to = next(((s, to) for s, to in SUFFIXES if word.endswith(s) and len(word) >= len(s) + 3), ("", ""))
+    if suffix and not (suffix == "s" and word.endswith("ss")):
+        word = word[: -len(suffix)] + to
+    return word[:-1] if len(word) > 4 and word[-1] == word[-2] and word[-1] not in "ls" else word
+
+
 def raw_tokens(text: str) -> str:
     return f"regexp_extract_all({text}, {quoted(TOKEN)}, 0)"
 
 
+def content_tokens(text: str) -> str:
+    """Lower-case tokens that are no stopwords, in order."""
+    return f"filter(transform({raw_tokens(text)}, t -> lower(t)), t -> t not in {words_in(STOPWORDS)})"
+
+
 def terms(text: str) -> str:
     """Stems of the tokens that are no stopwords, in order."""
-    return f"transform(filter(transform({raw_tokens(text)}, t -> lower(t)), t -> t not in {words_in(STOPWORDS)}), t -> {stem('t')})"
+    return f"transform({content_tokens(text)}, t -> {stem('t')})"
 
 
 def query_terms(text: str) -> str:

@@ -10,14 +10,16 @@ from docspark.functions import text as T
 K1, B = 1.4, 0.75
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, idx, term, tf)."""
-    return chunks.select("doc_id", "idx", F.explode(F.expr(T.terms("text"))).alias("term")).groupBy("doc_id", "idx", "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, idx, term, tf), of all terms or of those in `only` (term), which are picked before anything is shuffled."""
+    words = chunks.select("doc_id", "idx", F.explode(F.expr(T.terms("text"))).alias("term"))
+    words = words if only is None else words.join(only, "term", "left_semi")
+    return words.groupBy("doc_id", "idx", "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """(doc_id, idx, len): chunks without a term stay, with 0."""
-    return chunks.select("doc_id", "idx", F.expr(f"cast(size({T.terms('text')}) as bigint)").alias("len"))
+    return chunks.select("doc_id", "idx", F.expr(f"cast(size({T.content_tokens('text')}) as bigint)").alias("len"))
 
 
 def scope_stats(sizes: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from docspark.operators.index import B, K1, idf
 TOP, MOST, FLOOR = 6, 8, 0.4
 FOLLOW_UP = r"(?i)\b(it|its|they|their|them|this|that|those|these|he|she|there|one|ones|also|more)\b"
 STATISTIC = r"(?i)\b(percent|percentage|percentages|statistic|statistics|proportion|rate of|fraction|share of)\b"
-_SUMMARY = f"array_union(transform(array{T.words_in(SUMMARY_WORDS)}, w -> {T.stem('w')}), array{T.words_in(SUMMARY_STEMS)})"
+_SUMMARY = T.words_in(dict.fromkeys([*map(T.stemmed, SUMMARY_WORDS), *SUMMARY_STEMS]))
+#: Distinct terms of a batch of questions that are picked from the texts by a broadcast; more are joined after a shuffle.
+MOST_TERMS = 100_000
 
 
 def understood(questions: DataFrame) -> DataFrame:
@@ -20,12 +22,18 @@ def understood(questions: DataFrame) -> DataFrame:
 
     A question with fewer than two terms, or fewer than four and a pronoun, takes the terms of the previous one too.
     """
-    out = questions.withColumn("raw", F.expr(T.query_terms("question"))).withColumn("words", F.expr(_SUMMARY))
-    out = out.withColumn("own", F.expr("filter(raw, t -> not array_contains(words, t))"))
+    out = questions.withColumn("raw", F.expr(T.query_terms("question")))
+    out = out.withColumn("own", F.expr(f"filter(raw, t -> t not in {_SUMMARY})"))
     follows = (F.size("own") < 2) | ((F.size("own") < 4) & F.col("question").rlike(FOLLOW_UP))
     out = out.withColumn("terms", F.when(F.col("previous").isNotNull() & follows, F.expr(f"array_union(own, {T.query_terms('previous')})")).otherwise(F.col("own")))
     asked = F.expr(T.strip("question")).rlike(r"(?i)^\W*tl;?\s?dr\W*$") | ((F.size("raw") > 0) & (F.size("own") == 0))
-    return out.withColumn("proper", F.expr(T.proper_terms("question"))).withColumn("summary", asked).drop("raw", "words", "own")
+    return out.withColumn("proper", F.expr(T.proper_terms("question"))).withColumn("summary", asked).drop("raw", "own")
+
+
+def asked_terms(asked: DataFrame) -> DataFrame:
+    """(term) that the questions look up, each once."""
+    terms = asked.select(F.explode(F.expr("array_union(terms, proper)")).alias("term")).distinct()
+    return F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
 
 
 def weighed(asked: DataFrame, index: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +66,8 @@ def ranked(asked: DataFrame, index: DataFrame, sizes: DataFrame, stats: DataFram
     first = top.groupBy("qid").agg(F.max("score").alias("best"), F.max("n").alias("had"))
     rest = scored.where("scope = 'all'").join(top.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
     rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(*better))).where("r = 1").join(first, "qid").where(f"score >= {FLOOR} * best")
-    rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(f"n + had <= {MOST}").withColumn("n", F.col("n") + F.col("had"))
+    # six of a question's chunks may be had: a limit on n alone is pushed below the shuffle
+    rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(f"n < {MOST} and n + had <= {MOST}").withColumn("n", F.col("n") + F.col("had"))
     columns = ["qid", "n", "doc_id", "idx", "score"]
     return top.select(columns).unionByName(rest.select(columns)), weights
 

@@ -9,19 +9,21 @@ from docspark.functions import text as T
 from docspark.functions.words import KEYWORD_STOP, META_WORDS, NO_SUMMARY, STOPWORDS
 
 VERB = r"\b(is|are|refers to|was|were)\b"
-_LISTED = "array_distinct(array" + T.words_in(KEYWORD_STOP) + ")"
+_BARRED = T.words_in(dict.fromkeys(map(T.stemmed, KEYWORD_STOP)))
 
 
 def term_stats(pages: DataFrame) -> DataFrame:
     """(doc_id, stem, tf, pages, form): counts of the content words, and their commonest form, the first seen if tied."""
-    words = pages.select("doc_id", "page", F.posexplode(F.expr(T.raw_tokens("text"))).alias("pos", "raw")).withColumn("low", F.lower("raw"))
-    words = words.where(F.expr(f"low not in {T.words_in(dict.fromkeys(STOPWORDS + META_WORDS))} and length(low) >= 3") & ~F.col("low").rlike(r"^\p{Nd}+$"))
-    shown = F.when(F.col("raw").rlike("^[^a-z]*[A-Z][^a-z]*$") & (F.length("raw") > 1), F.col("raw")).otherwise(F.col("low"))
-    words = words.select("doc_id", "page", "pos", F.expr(T.stem("low")).alias("stem"), shown.alias("form"))
-    forms = words.groupBy("doc_id", "stem", "form").agg(F.count("*").alias("n"), F.min(F.struct("page", "pos")).alias("at"))
-    forms = forms.groupBy("doc_id", "stem").agg(F.sum("n").alias("tf"), F.min(F.struct((-F.col("n")).alias("n"), "at", "form")).alias("best"))
-    spread = words.select("doc_id", "stem", "page").distinct().groupBy("doc_id", "stem").agg(F.count("*").alias("pages"))
-    return forms.join(spread, ["doc_id", "stem"]).select("doc_id", "stem", "tf", "pages", F.col("best.form").alias("form"))
+    tokens = f"transform({T.raw_tokens('text')}, (t, i) -> named_struct('raw', t, 'low', lower(t), 'pos', i))"
+    content = f"x.low not in {T.words_in(dict.fromkeys(STOPWORDS + META_WORDS))} and length(x.low) >= 3 and not x.low rlike '^\\\\p{{Nd}}+$'"
+    shown = "if(length(x.raw) > 1 and x.raw rlike '^[^a-z]*[A-Z][^a-z]*$', x.raw, x.low)"
+    words = f"transform(filter({tokens}, x -> {content}), x -> named_struct('stem', {T.stem('x.low')}, 'form', {shown}, 'pos', x.pos))"
+    words = pages.select("doc_id", "page", F.inline(F.expr(words)))
+    forms = words.groupBy("doc_id", "stem", "form", "page").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    forms = forms.groupBy("doc_id", "stem", "form").agg(F.sum("n").alias("n"), F.min(F.struct("page", "pos")).alias("at"), F.collect_list("page").alias("pages"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "at", "form"))
+    stats = forms.groupBy("doc_id", "stem").agg(F.sum("n").alias("tf"), F.flatten(F.collect_list("pages")).alias("pages"), best.alias("best"))
+    return stats.select("doc_id", "stem", "tf", F.size(F.array_distinct("pages")).cast("long").alias("pages"), F.col("best.form").alias("form"))
 
 
 def weight():
@@ -30,9 +32,8 @@ def weight():
 
 def keywords(stats: DataFrame, n: int = 8) -> DataFrame:
     """(doc_id, rank, keyword): the forms of up to n stems by tf * ln(1 + pages), with tf of 3 at least."""
-    barred = f"array_contains(transform({_LISTED}, w -> {T.stem('w')}), stem)"
     ordered = Window.partitionBy("doc_id").orderBy(F.desc(F.round(weight(), 9)), "stem")
-    out = stats.where(f"tf >= 3 and not {barred}").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= n)
+    out = stats.where(f"tf >= 3 and stem not in {_BARRED}").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= n)
     return out.select("doc_id", "rank", F.col("form").alias("keyword"))
 
 

@@ -21,9 +21,10 @@ def library(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def gated(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Questions (qid, scope, question, previous, mode) with their passages and gate; chunks have doc_name."""
     asked = retrieval.understood(questions)
-    postings, sizes = index.postings(chunks), index.lengths(chunks)
-    passages, weights = retrieval.ranked(asked.where("not summary"), postings, sizes, index.scope_stats(sizes))
-    return retrieval.gated(asked.where("not summary"), passages, weights, chunks)
+    asked = asked.where("not summary")
+    postings, sizes = index.postings(chunks, retrieval.asked_terms(asked)), index.lengths(chunks)
+    passages, weights = retrieval.ranked(asked, postings, sizes, index.scope_stats(sizes))
+    return retrieval.gated(asked, passages, weights, chunks)
 
 
 def answers(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, clients: dict | None = None, turns: DataFrame | None = None) -> DataFrame:

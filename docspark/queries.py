@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.functions.words import META_WORDS, STOPWORDS
-from docspark.operators import answering, chunking, history, index, phrasing, presentation, retrieval, summaries
+from docspark.functions.words import KEYWORD_STOP, META_WORDS, STOPWORDS, SUMMARY_STEMS, SUMMARY_WORDS
+from docspark.operators import answering, chunking, history, index, library, phrasing, presentation, retrieval, summaries
 from docspark.plans import ask
 from docspark.sources import files
 
@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return files.spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def _pages(spark, sf_dir):
@@ -36,8 +36,9 @@ def _passages(spark, sf_dir):
 
 def _questions(spark, sf_dir):
     """Every benchmark passage as a question in scope all; every fourth with the one before as history."""
-    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit("all").alias("scope"), F.col("text").alias("question"))
-    return rows.select("*", F.lit(None).cast("string").alias("previous"), F.lit("local").alias("mode"))
+    items = _table(spark, sf_dir, "benchmark")
+    before = items.where("(item_id + 1) % 4 = 0").select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("previous"))
+    return items.join(before, "item_id", "left").select(F.col("item_id").alias("qid"), F.lit("all").alias("scope"), F.col("text").alias("question"), "previous", F.lit("local").alias("mode"))
 
 
 def _messages(spark, sf_dir):
@@ -82,11 +83,11 @@ def token_spans(spark, sf_dir):
 
 def drop_headers(spark, sf_dir):
     pages = _pages(spark, sf_dir).withColumn("text", F.concat(F.lit("Report No. "), "page", F.lit("\n"), "text"))
-    return chunking.without_headers(pages)
+    return chunking.without_headers(pages).withColumn("page", F.col("page").cast("long"))
 
 
 def chunks(spark, sf_dir):
-    return chunking.chunked(_pages(spark, sf_dir))
+    return chunking.chunked(_pages(spark, sf_dir)).withColumns({"idx": F.col("idx").cast("long"), "page": F.col("page").cast("long")})
 
 
 def reference_filter(spark, sf_dir):
@@ -99,13 +100,12 @@ def page_text(spark, sf_dir):
 
 
 def chunks_with_names(spark, sf_dir):
-    names = _docs(spark, sf_dir).select("doc_id", F.concat("source", F.lit("-"), "doc_id").alias("doc_name"))
-    return _passages(spark, sf_dir).drop("doc_name").join(names, "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), "doc_name")
+    names = _docs(spark, sf_dir).select("doc_id", F.concat("source", F.lit("-"), "doc_id").alias("name"))
+    return library.named(_passages(spark, sf_dir).drop("doc_name"), names).select("doc_id", F.col("idx").cast("long").alias("idx"), "doc_name")
 
 
 def library_totals(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return pages.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    return library.totals(_pages(spark, sf_dir))
 
 
 def postings(spark, sf_dir):
@@ -127,7 +127,7 @@ def _ranked(spark, sf_dir):
     rows = _passages(spark, sf_dir)
     sizes = index.lengths(rows)
     asked = retrieval.understood(_questions(spark, sf_dir))
-    return asked, rows, *retrieval.ranked(asked, index.postings(rows), sizes, index.scope_stats(sizes))
+    return asked, rows, *retrieval.ranked(asked, index.postings(rows, retrieval.asked_terms(asked)), sizes, index.scope_stats(sizes))
 
 
 def bm25_topk(spark, sf_dir):
@@ -137,7 +137,7 @@ def bm25_topk(spark, sf_dir):
 
 def multi_doc_fill(spark, sf_dir):
     _, _, passages, _ = _ranked(spark, sf_dir)
-    return passages.select("qid", "n", "doc_id", "idx", F.round("score", 6).alias("score"))
+    return passages.select("qid", F.col("n").cast("long").alias("n"), "doc_id", F.col("idx").cast("long").alias("idx"), F.round("score", 6).alias("score"))
 
 
 def unseen_terms(spark, sf_dir):
@@ -214,17 +214,17 @@ def extractive_summary(spark, sf_dir):
 
 
 def summary_prompt(spark, sf_dir):
-    return summaries.summary_prompts(_pages(spark, sf_dir)).select("doc_id", F.length("body").alias("length"), F.md5("body").alias("md5"))
+    return summaries.summary_prompts(_pages(spark, sf_dir)).select("doc_id", F.length("body").cast("long").alias("length"), F.md5("body").alias("md5"))
 
 
 def delete_document(spark, sf_dir):
     gone = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return _docs(spark, sf_dir).join(gone, "doc_id", "left_anti").select("doc_id", "source")
+    return library.without(_docs(spark, sf_dir), gone).select("doc_id", "source")
 
 
 def missing_samples(spark, sf_dir):
     labelled = _table(spark, sf_dir, "labels").select("doc_id")
-    return _docs(spark, sf_dir).join(labelled, "doc_id", "left_anti").select("doc_id")
+    return library.without(_docs(spark, sf_dir), labelled).select("doc_id")
 
 
 def decode_fallback(spark, sf_dir):
@@ -297,25 +297,75 @@ def _sql_terms(text: str, out=STOPWORDS) -> str:
     return f"list_transform(list_filter(list_transform({_TOKENS.format(text=text)}, lambda t: lower(t)), lambda t: t not in {_list(dict.fromkeys(out))}), lambda t: {_sql_stem('t')})"
 
 
+def _sql_proper(text: str, out) -> str:
+    return f"list_transform(list_filter(list_filter({_TOKENS.format(text=text)}, lambda x, i: i > 1 and regexp_matches(x, '^[A-Z]')), lambda x: lower(x) not in {_list(out)}), lambda x: {_sql_stem('lower(x)')})"
+
+
 def _first_places(items: str) -> str:
     return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
 
 
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+_SENTENCES = "(select doc_id, s as sentence from (select doc_id, trim(unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ([\"''(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))) as s from documents) where length(s) > 1)"
 _PAGES = "pages as (select doc_id, text, unnest(range(0, greatest(1, (length(text) + 2999) // 3000))) as idx from (select doc_id, regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as text from documents)), parts as (select doc_id, idx, substr(text, idx * 3000 + 1, 3000) as text from pages)"
 _POSTINGS = f"terms as (select doc_id, idx, unnest({_sql_terms('text')}) as term from parts), postings as (select doc_id, idx, term, count(*) as tf from terms group by all), lens as (select doc_id, idx, len({_sql_terms('text')}) as len from parts)"
 _USERS = "msgs as (select turn as id, conv_id::varchar as scope, role, text as content from conversations where role <> 'system')"
 
 
+def _sql_ranked(asked: str) -> str:
+    """Scores r (qid, doc_id, idx, score) of the questions' chunks."""
+    return f"q as (select qid, unnest(terms) as term, generate_subscripts(terms, 1) as pos from {asked}), df as (select term, count(*) as df from postings group by term), s as (select count(*) as n, avg(len) as a from lens), c as (select qid, pos, doc_id, idx, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / a)) as c from q join postings using (term) join df using (term) join lens using (doc_id, idx), s), r as (select qid, doc_id, idx, sum(c order by pos) as score from c group by all)"
+
+
+def _sql_filled() -> str:
+    """Passages p (qid, n, doc_id, idx, score) from the scores r."""
+    return """top as (select * from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id, idx) as n from r) where n <= 6), f as (select qid, max(score) as best, max(n) as had from top group by qid),
+        rest as (select *, row_number() over (partition by qid order by doc_id) as k from (select r.*, best, had, row_number() over (partition by qid, doc_id order by round(score, 9) desc, idx) as nr from r join f using (qid) where (qid, doc_id) not in (select (qid, doc_id) from top)) where nr = 1 and score >= 0.4 * best),
+        p as (select qid, n, doc_id, idx, score from top union all select qid, k + had, doc_id, idx, score from rest where k + had <= 8)"""
+
+
+def _sql_sentences(text: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace({text}, '\\s+', ' ', 'g')), '([.!?]) ([\"''(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 1)"
+
+
+def _sql_chunks() -> str:
+    """Chunks (doc_id, idx, page, text) of the parts, window by window."""
+    last = lambda needle: f"case when strpos(reverse(w), '{needle[::-1]}') > 0 then length(w) + 1 - strpos(reverse(w), '{needle[::-1]}') - {len(needle)} else -1 end"
+    ended = f"select doc_id, page, f, nr, pos, case when pos + 1000 >= length(f) then length(f) when dot >= 0 then pos + 501 + dot when gap >= 0 then pos + 501 + gap else pos + 1000 end as stop from (select *, greatest({last('. ')}, {last('? ')}) as dot, {last(' ')} as gap from (select *, substr(f, pos + 501, 500) as w from ({{rows}})))"
+    first = ended.format(rows=f"select doc_id, idx as page, trim(regexp_replace(text, '{_BLANK}+', ' ', 'g')) as f, 0 as nr, 0 as pos from parts")
+    follow = "select doc_id, page, f, nr + 1 as nr, case when strpos(substr(f, q + 1), ' ') > 0 and q + strpos(substr(f, q + 1), ' ') - 1 < stop then q + strpos(substr(f, q + 1), ' ') else q end as pos from (select *, greatest(stop - 180, pos + 1) as q from steps where stop < length(f))"
+    marks = "len(regexp_extract_all(text, '\\b(?:Retrieved|Archived|ISBN|ISSN|doi|PMID|S2CID|Bibcode|arXiv)\\b'))"
+    return f"steps as ({first} union all {ended.format(rows=follow)}), chunks as (select doc_id, row_number() over (partition by doc_id order by page, nr) - 1 as idx, page + 1 as page, text from (select *, trim(substr(f, pos + 1, stop - pos)) as text from steps) where length(text) > 40 and {marks} < 3)"
+
+
 def oracle_sql() -> dict[str, str]:
     both = list(dict.fromkeys(STOPWORDS + META_WORDS))
     asked = f"(select item_id as qid, {_first_places(_sql_terms('text', both))} as terms from benchmark)"
     return {
         "pseudo_pages": "select doc_id, idx + 1 as page, substr(text, idx * 3000 + 1, 3000) as text from (select doc_id, text, unnest(range(0, greatest(1, (length(text) + 2999) // 3000))) as idx from documents)",
         "doc_dedupe": "select doc_id, sha256(text) as sha256, min(doc_id) over (partition by sha256(text)) as first_id, doc_id <> min(doc_id) over (partition by sha256(text)) as duplicate from documents",
-        "sentences": "select doc_id, s as sentence from (select doc_id, trim(unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ([\"''(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))) as s from documents) where length(s) > 1",
+        "sentences": f"select doc_id, sentence from {_SENTENCES}",
+        "clean_text": f"select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('x-' || chr(10) || 'op [12] http://a.b/c ' || chr(9) || '[Note 3] ' || text, '-\\n([a-z])', '\\1', 'g'), '(?i)\\[{_BLANK}*(?:\\p{{Nd}}+|citation needed|note \\p{{Nd}}+){_BLANK}*\\]', '', 'g'), '(?:https?://|www\\.)[^\\s\\x0b\\x1c-\\x1f\\x{{85}}\\pZ]+', ' ', 'g'), '[ \\t]+', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g') as text from documents",
+        "decode_fallback": "select doc_id, case when doc_id % 3 = 0 then regexp_replace(text, '[^\\x00-\\x{ff}]', '?', 'g') else text end as text from documents",
+        "keywords": f"""with {_PAGES}, tokens as (select doc_id, idx, unnest({_TOKENS.format(text='text')}) as raw, generate_subscripts({_TOKENS.format(text='text')}, 1) as pos from parts),
+            words as (select doc_id, idx, pos, {_sql_stem('lower(raw)')} as stem, case when length(raw) > 1 and regexp_matches(raw, '^[^a-z]*[A-Z][^a-z]*$') then raw else lower(raw) end as form from tokens where lower(raw) not in {_list(both)} and length(raw) >= 3 and not regexp_matches(raw, '^[0-9]+$')),
+            forms as (select doc_id, stem, form, count(*) as n, min((idx, pos)) as first from words group by all),
+            best as (select doc_id, stem, form from (select *, row_number() over (partition by doc_id, stem order by n desc, first, form) as r from forms) where r = 1),
+            stats as (select doc_id, stem, count(*) as tf, count(distinct idx) as pages from words group by all)
+            select doc_id, rank, form as keyword from (select doc_id, stem, form, row_number() over (partition by doc_id order by round(tf * ln(1 + pages), 9) desc, stem) as rank from stats join best using (doc_id, stem) where tf >= 3 and stem not in {_list(dict.fromkeys(map(T.stemmed, KEYWORD_STOP)))}) where rank <= 8""",
+        "good_sentences": f"""select doc_id, count(*) as n from (select doc_id, sentence as s, string_split(sentence, ' ') as w from {_SENTENCES}) where length(s) between 45 and 380 and regexp_matches(s, '^\\p{{Lu}}') and length(regexp_replace(s, '[^\\pL]', '', 'g')) / length(s) >= 0.75
+            and not regexp_matches(s, '(?i)https?://|://|[(]htt|\\bISBN\\b|\\bdoi\\b|\\bRetrieved\\b|\\bArchived\\b') and not regexp_matches(s, '(?i)^(See also|External links|References|Further reading)\\b')
+            and len(list_filter(w[2:401], lambda x: regexp_matches(x, '^\\p{{Lu}}'))) / greatest(1, len(w) - 1) <= 0.3 and regexp_matches(s, '[.!?]$') group by doc_id""",
+        "summary_prompt": f"""with {_PAGES}, t as (select doc_id, list(text order by idx) as t from parts group by doc_id), h as (select doc_id, t, left(array_to_string(t[1:3], chr(10)), 7000) as head from t), p as (select *, greatest(300, (14000 - length(head)) // greatest(1, len(t) - 3)) as per from h),
+            b as (select doc_id, '[pages 1-3] ' || head || chr(10) || left(array_to_string(list_transform(t[4:], lambda x, i: '[page ' || (i + 3) || '] ' || left(x, per)), chr(10)), 14000 - length(head)) as body from p) select doc_id, length(body) as length, md5(body) as md5 from b""",
+        "drop_headers": f"""with {_PAGES}, lines as (select doc_id, idx, unnest(l) as line, generate_subscripts(l, 1) as nr from (select doc_id, idx, string_split(regexp_replace('Report No. ' || (idx + 1) || chr(10) || text, '\\r\\n?|[\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10)) as l from parts)),
+            keyed as (select *, regexp_replace(lower(regexp_replace(line, '^{_BLANK}+|{_BLANK}+$', '', 'g')), '\\p{{Nd}}+', '#', 'g') as key from lines), bad as (select doc_id, key from keyed where length(key) > 3 group by doc_id, key having count(distinct idx) > 0.4 * (select count(*) from parts where parts.doc_id = keyed.doc_id) and (select count(*) from parts where parts.doc_id = keyed.doc_id) >= 4),
+            kept as (select doc_id, idx, string_agg(line, chr(10) order by nr) as text from keyed where (doc_id, key) not in (select (doc_id, key) from bad) group by all) select doc_id, idx + 1 as page, coalesce(kept.text, '') as text from parts left join kept using (doc_id, idx)""",
+        "followup_terms": f"""with {_USERS}, u as (select scope || '-' || id as qid, content as q, lag(content) over (partition by scope order by id) as p from msgs where role = 'user'), o as (select qid, q, p, list_filter({_first_places(_sql_terms('q', both))}, lambda x: x not in {_list(dict.fromkeys([*map(T.stemmed, SUMMARY_WORDS), *SUMMARY_STEMS]))}) as own, {_sql_terms("coalesce(p, '')", both)} as more from u),
+            a as (select qid, case when p is not null and (len(own) < 2 or len(own) < 4 and regexp_matches(q, '{retrieval.FOLLOW_UP}')) then list_concat(own, more) else own end as t from o) select qid, array_to_string({_first_places('t')}, ' ') as terms from a""",
         "tokens_freq": f"select term, count(*) as n from (select unnest({_sql_terms('text')}) as term from documents) group by term",
         "query_terms": f"select qid, array_to_string(terms, ' ') as terms from {asked}",
-        "proper_terms": f"select item_id as qid, array_to_string(list_transform(list_filter(list_filter({_TOKENS.format(text='text')}, lambda x, i: i > 1 and regexp_matches(x, '^[A-Z]')), lambda x: lower(x) not in {_list(both)}), lambda x: {_sql_stem('lower(x)')}), ' ') as terms from benchmark",
+        "proper_terms": f"select item_id as qid, array_to_string({_sql_proper('text', both)}, ' ') as terms from benchmark",
         "reference_filter": "select doc_id, len(regexp_extract_all(text || case when doc_id % 3 = 0 then ' ISBN 1 doi 2 Retrieved 3' else ' ISBN 1 doi 2' end, '\\b(?:Retrieved|Archived|ISBN|ISSN|doi|PMID|S2CID|Bibcode|arXiv)\\b')) as marks from documents",
         "chunks_with_names": f"with {_PAGES} select p.doc_id, p.idx, d.source || '-' || d.doc_id as doc_name from parts p join documents d using (doc_id)",
         "library_totals": f"with {_PAGES} select count(distinct doc_id) as documents, count(*) as pages, coalesce(sum(length(text)), 0)::bigint as chars from parts",
@@ -331,5 +381,15 @@ def oracle_sql() -> dict[str, str]:
         "last_assistant": f"with {_USERS} select scope, arg_max(content, id) as content from msgs where role = 'assistant' group by scope",
         "short_names": "select doc_id, left(regexp_replace(source || '_' || repeat('x', (doc_id % 40)::int) || '.part.txt', '[.][^.]+$', ''), 28) as name, 'What does the document say about ' || source || '?' as question from documents",
         "missing_samples": "select doc_id from documents where doc_id not in (select doc_id from labels)",
-        "bm25_topk": f"with {_PAGES}, {_POSTINGS}, q as (select qid, unnest(terms) as term, generate_subscripts(terms, 1) as pos from {asked}), df as (select term, count(*) as df from postings group by term), s as (select count(*) as n, avg(len) as a from lens), c as (select qid, pos, doc_id, idx, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / a)) as c from q join postings using (term) join df using (term) join lens using (doc_id, idx), s), r as (select qid, doc_id, idx, sum(c order by pos) as score from c group by all) select qid, n, doc_id, idx, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id, idx) as n from r) where n <= 6",
+        "multi_doc_fill": f"with {_PAGES}, {_POSTINGS}, {_sql_ranked(asked)}, {_sql_filled()} select qid, n, doc_id, idx, round(score, 6) as score from p",
+        "chunks": f"with recursive {_PAGES}, {_sql_chunks()} select doc_id, idx, page, text from chunks",
+        "page_text": f"with recursive {_PAGES}, {_sql_chunks()} select doc_id, page, string_agg(text, chr(10) || chr(10) order by idx) as text from chunks group by all",
+        "gate_tier": f"""with {_PAGES}, {_POSTINGS}, {_sql_ranked(asked)}, {_sql_filled()}, w as (select qid, q.term, coalesce(df, 0) as df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) as idf from q left join df using (term), s),
+            t as (select qid, sum(idf) as total, count(*) as size, count(*) filter (df = 0) as unseen from w group by qid), cc as (select qid, max(cover) as cover from (select qid, doc_id, idx, sum(idf) as cover from p join postings using (doc_id, idx) join w using (qid, term) group by all) group by qid),
+            z as (select qid, doc_id, idx, unnest(l) as sentence, generate_subscripts(l, 1) as k from (select qid, doc_id, idx, {_sql_sentences('text')} as l from p join parts using (doc_id, idx) where n <= 4)), zt as (select distinct qid, doc_id, idx, k, sentence, unnest({_sql_terms('sentence')}) as term from z),
+            zc as (select qid, sentence, sum(idf) as cover from zt join w using (qid, term) group by qid, doc_id, idx, k, sentence), zb as (select qid, max(cover) as cover, max(case when regexp_matches(sentence, '\\p{{Nd}}') and regexp_matches(sentence, '(?i)%|percent') then cover end) as shown from zc group by qid),
+            o as (select distinct qid from (select item_id as qid, unnest({_sql_proper('text', both)}) as term from benchmark) where term not in (select term from postings)),
+            g as (select b.item_id as qid, b.text, coalesce(size, 0) as size, coalesce(cc.cover / total, 0) as chunk, coalesce(zb.cover / total, 0) as sentence, coalesce(shown / total, 0) as shown, coalesce(size >= 2 and unseen / size >= 0.34, false) or o.qid is not null as off from benchmark b left join t on t.qid = b.item_id left join cc on cc.qid = b.item_id left join zb on zb.qid = b.item_id left join o on o.qid = b.item_id)
+            select qid, case when size = 0 or off then 'none' when chunk >= 0.6 or sentence >= 0.5 then 'high' when greatest(chunk, sentence) >= 0.2 then 'low' else 'none' end as tier, not (size > 0 and regexp_matches(text, '{retrieval.STATISTIC}')) or shown >= 0.4 as stat_ok, round(greatest(chunk, sentence), 3) as coverage from g""",
+        "bm25_topk": f"with {_PAGES}, {_POSTINGS}, {_sql_ranked(asked)} select qid, n, doc_id, idx, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id, idx) as n from r) where n <= 6",
     }

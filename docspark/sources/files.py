@@ -28,6 +28,17 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return reader.load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
+#: Bytes for each core below which a table of fewer files than cores is dealt out anew.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table of a few files, which a few tasks would read, over all cores; larger ones as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if len(table.inputFiles()) < cores and size < cores * SPREAD_BYTES else table
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(name) of the PDF files of a folder, sorted."""
     return read_files(spark, path, "*.pdf").select("name").orderBy("name")
