@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import chunks, give_back, pack, unpack
+from docspark.llm.kernels import CHUNK_BYTES, chunks, give_back, pack, unpack
 from docspark.llm.scratch import Scratch
 
 #: Stands for a missing identifier; it is larger than all others.
@@ -28,18 +28,33 @@ SLICE_ITEMS = 1 << 21
 CHUNK_SCHEMA = "chunk long, ids binary, sizes binary, words long, body binary"
 
 
-class Chunk:
-    """One row of a chunk table: ids (NO_ID where missing), bytes and offsets of the texts."""
+class Piece:
+    """Some whole texts: ids (NO_ID where missing), bytes and offsets."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, offs: np.ndarray):
+        self.ids, self.data, self.offs = ids, data, offs
+
+
+class Chunk(Piece):
+    """One row of a chunk table."""
 
     def __init__(self, row: dict):
         self.key = row["chunk"]
-        self.ids = unpack(row["ids"], np.int64)
-        self.offs = np.concatenate([[0], np.cumsum(unpack(row["sizes"], np.int64))])
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
+        super().__init__(unpack(row["ids"], np.int64), data, np.concatenate([[0], np.cumsum(unpack(row["sizes"], np.int64))]))
 
+    def pieces(self, size: int = CHUNK_BYTES) -> Iterator[Piece]:
+        """The texts in pieces of about `size` bytes, for work that holds much more than the texts."""
+        at = 0
+        while at < len(self.ids):
+            to = max(at + 1, int(np.searchsorted(self.offs, self.offs[at] + size, "right")) - 1)
+            yield Piece(self.ids[at:to], self.data[self.offs[at] : self.offs[to]], self.offs[at : to + 1] - self.offs[at])
+            at = to
 
-def chunk_table(docs: DataFrame, scratch: Scratch, count: Callable, name: str = "chunks") -> DataFrame:
-    """Writes (id long, text string) as a table with a row per chunk; `words` has count(bytes, offsets) of it.
+
+def chunk_table(docs: DataFrame, scratch: Scratch, count: Callable, name: str = "chunks", size: int = CHUNK_BYTES) -> DataFrame:
+    """Writes (id long, text string) as a table with a row per chunk of about `size` bytes; `words` has the sum of
+    count(bytes, offsets) over parts of it.
 
     A chunk's key is the task and its place there; it is read back from the written table and never computed again.
     """
@@ -48,13 +63,24 @@ def chunk_table(docs: DataFrame, scratch: Scratch, count: Callable, name: str =
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 32
+
+        def row(parts: list[tuple]) -> pa.RecordBatch:
+            ids, sizes, counts, bodies = zip(*parts)
+            body = zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))
+            cells = [key, pack(np.concatenate(ids)), pack(np.concatenate(sizes)), sum(counts), body]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["chunk", "ids", "sizes", "words", "body"])
+
+        parts, held = [], 0
         for batch in batches:
-            for rows, data, offs in chunks(batch):
+            for rows, data, offs in chunks(batch, size=min(size, CHUNK_BYTES)):
+                if parts and held + len(data) > size:
+                    yield row(parts)
+                    parts, held, key = [], 0, key + 1
                 ids = rows.column("id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-                body = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
-                cells = [key, pack(ids), pack(np.diff(offs).astype(np.int64)), int(count(data, offs)), body]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["chunk", "ids", "sizes", "words", "body"])
-                key += 1
+                parts.append((ids, np.diff(offs).astype(np.int64), int(count(data, offs)), data.tobytes()))
+                held += len(data)
+        if parts:
+            yield row(parts)
         give_back()
 
     return scratch.table(docs.select("id", "text").mapInArrow(run, CHUNK_SCHEMA), name)
@@ -92,10 +118,10 @@ def send(chunk_rows: DataFrame, split: Callable[[dict], Iterator[tuple]], schema
 
 
 def answers(replies: DataFrame, name: str) -> DataFrame:
-    """(chunk, name) with all answer blobs of a chunk, one per slice; a chunk is small, and so are its answers."""
-    return replies.groupBy("chunk").agg(F.collect_list(F.struct("slice", "blob")).alias(name))
+    """(chunk, name) with all answer cells of a chunk, one per slice; a chunk is bounded, and so are its answers."""
+    return replies.groupBy("chunk").agg(F.collect_list(F.struct(*(c for c in replies.columns if c != "chunk"))).alias(name))
 
 
-def by_slice(cells: list | None) -> list[bytes]:
-    """Answer blobs in the order of their slices, which is the order of hashes."""
-    return [c["blob"] for c in sorted(cells or (), key=lambda c: c["slice"])]
+def by_slice(cells: list | None, field: str = "blob") -> list[bytes]:
+    """A field of the answers in the order of their slices, which is the order of hashes."""
+    return [c[field] for c in sorted(cells or (), key=lambda c: c["slice"])]

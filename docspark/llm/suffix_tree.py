@@ -9,18 +9,20 @@ count times the Kullback-Leibler divergence must reach `min_gain` nats. Suffixes
 A state's distribution is smoothed by its suffix's, which counts as `weight` observations; below the empty context lies
 the uniform one over 257 symbols. Each symbol is scored with the longest retained suffix of its context.
 
-A word with what precedes it is a *unit*; a chunk's distinct units are spelled and scored once. For the word scores,
-chunks send their distinct words with counts to slices of the hash, whose owners answer with the corpus counts.
+A word with what precedes it is a *unit*; distinct units are spelled and scored once per piece of a chunk. For the word
+scores, chunks send their distinct words with counts to slices of the hash, whose owners answer with the corpus counts.
 
 The tree grows with the corpus and is never in one place. It is a table in slices by the last `STEM` symbols of a context,
-so that a slice has whole branches; contexts shorter than that, which the alphabet bounds, are its *top*, and all slices
-share them. Chunks ask the owners of slices for the log10 probabilities of their distinct contexts with a symbol.
+so that a slice has whole branches; its owner adds up the counts and tests all contexts longer than that, which have their
+suffix in the slice. The shorter ones, which the alphabet bounds, are tested over all slices: those below `STEM` symbols
+are the *top*, and all slices share them. Chunks of `BLOCK_BYTES` ask the owners of slices for the log10 probabilities of
+their distinct contexts with a symbol: most recur within a chunk, so that questions are few against the text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.kernels import _LOWER, Index, Words, give_back, mix, pack, pack_sorted, unpack, unpack_sorted
-from docspark.llm.packed import NO_ID, Chunk, answers, by_slice, chunk_table, cuts, rows_of, send, slice_bits
-from docspark.llm.scratch import Scratch
+from docspark.llm.packed import NO_ID, Chunk, Piece, answers, by_slice, chunk_table, cuts, rows_of, send, slice_bits
+from docspark.llm.scratch import Scratch, integer_id
 
 _U = np.uint64
 BLANK, END, SYMBOLS = 0x20, 0x0A, 257
@@ -39,6 +41,8 @@ CROSSED = 3
 STEM = 3
 #: Entries of symbol counts that a slice's owner holds before it adds them up, and of questions that it answers at once.
 FLUSHED = 1_000_000
+#: Bytes of the texts of a chunk, about.
+BLOCK_BYTES = 16 << 20
 #: Symbols that are scored at once.
 SCORED = 1 << 18
 
@@ -49,10 +53,10 @@ def held_out(ids: np.ndarray, mod: int = 10, rest: int = 0) -> np.ndarray:
 
 
 class Units:
-    """Distinct units of a chunk: `of_words` and `of_ends` name the unit of each word and of each row's end token;
+    """Distinct units of a piece: `of_words` and `of_ends` name the unit of each word and of each row's end token;
     `symbols` spells all units, and the symbols to predict are at `at`, for `unit`, with `reach` symbols before them."""
 
-    def __init__(self, chunk: Chunk, words: Words):
+    def __init__(self, chunk: Piece, words: Words):
         rows, n, data = len(chunk.ids), len(words.row), chunk.data
         counts = words.counts
         last = np.cumsum(counts) - 1  # the last word of each row that has one
@@ -183,78 +187,119 @@ class SuffixTree:
         return state
 
 
-def _distinct(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray]:
-    words = Words(chunk.data, chunk.offs, lower=True)
+def _distinct(piece: Piece) -> tuple[Words, np.ndarray, np.ndarray]:
+    words = Words(piece.data, piece.offs, lower=True)
     return words, *np.unique(words.hashes[0], return_inverse=True)
 
 
+def _added(keys: Sequence[np.ndarray], n: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of keys, each part sorted or nearly so, added up and sorted; the counts keep their type."""
+    keys, n = np.concatenate(keys), np.concatenate(n)
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")  # merges runs
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first, dtype=n.dtype)
+
+
 def _owner(group: pa.Table) -> pa.Table:
     """Adds up the counts of a slice's words: answers for its chunks, and totals in a row without a chunk."""
     give_back()
     hashed = [unpack_sorted(b.as_py()) for b in group.column("hashes")]
-    counts = [unpack(b.as_py(), np.uint32) for b in group.column("counts")]
-    words, where = np.unique(np.concatenate(hashed), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(counts), minlength=len(words)).astype(np.uint64)
-    out = [(s, c, pack(total[w]), 0, 0) for s, c, w in zip(group.column("slice").to_pylist(), group.column("chunk").to_pylist(), np.split(where, np.cumsum([len(h) for h in hashed])[:-1]))]
+    counts = [unpack(b.as_py(), np.uint32).astype(np.int64) for b in group.column("counts")]
+    words, total = _added(hashed, counts)
+    out = [(s, c, pack(total[np.searchsorted(words, h)].astype(_U)), 0, 0) for s, c, h in zip(group.column("slice").to_pylist(), group.column("chunk").to_pylist(), hashed)]
     out.append((None, None, None, int(total.sum()), int((total > 0).sum())))
-    return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("slice", "chunk", "blob", "a", "b"), zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))})
-
+    kinds = {"slice": pa.int32(), "chunk": pa.int64(), "blob": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+    return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), zip(*out))})
 
-def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
 
-
-def _with_suffixes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of contexts with a symbol, as counts of each of their suffixes, the empty one included."""
+def _with_suffixes(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of contexts with a symbol, as counts of each of their suffixes, by length from the empty one on."""
     length = _lengths(keys >> _U(8))
     out, longer = [], (keys[:0], n[:0])
     for k in range(int(length.max(initial=0)), -1, -1):
         own = length == k
         shorter = (longer[0] >> _U(8) & _MASK[k] | _LEAD[k]) * _U(256) + (longer[0] & _U(255))
-        longer = _added(np.concatenate([keys[own], shorter]), np.concatenate([n[own], longer[1]]))
-        out.append(longer)
-    return tuple(map(np.concatenate, zip(*out)))
+        longer = _added([keys[own], shorter], [n[own], longer[1]])
+        out.insert(0, longer)
+    return out
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    """(ctx, sym, n) of a slice: its chunks' counts added up, as counts of all suffixes."""
+def _suffix(contexts: np.ndarray, length: int) -> np.ndarray:
+    return contexts & _MASK[length] | _LEAD[length]
+
+
+def _retained(levels: list[tuple[np.ndarray, np.ndarray]], min_gain: float) -> list[np.ndarray]:
+    """Which entries of each level belong to contexts that diverge from their suffixes, or are suffixes of such; only the
+    levels above STEM are tested."""
+    out = [np.zeros(len(keys), bool) for keys, _ in levels]
+    needed = np.zeros(0, _U)  # suffixes of what was retained one level above
+    for k in range(len(levels) - 1, STEM - 1, -1):
+        keys, n = levels[k]
+        contexts, where = np.unique(keys >> _U(8), return_inverse=True)
+        good = np.isin(contexts, needed)
+        if k > STEM:
+            up_keys, up_n = levels[k - 1]
+            up, up_where = np.unique(up_keys >> _U(8), return_inverse=True)
+            up_total = np.bincount(up_where, weights=up_n)
+            parent = np.searchsorted(up_keys, _suffix(keys >> _U(8), k - 1) * _U(256) + (keys & _U(255)))
+            total = np.bincount(where, weights=n)
+            share = (n / total[where]) / (up_n[parent] / up_total[up_where[parent]])
+            good |= np.bincount(where, weights=n * np.log(share), minlength=len(contexts)) >= min_gain
+        out[k] = good[where]
+        needed = np.unique(_suffix(contexts[good], k - 1))
+    return out
+
+
+def _grown(group: pa.Table, min_gain: float) -> pa.Table:
+    """(ctx, sym, n, kept) of a slice: its chunks' counts added up as counts of all suffixes, the contexts above STEM symbols
+    only if they are retained; kept says of those of STEM symbols whether a longer one needs them."""
     give_back()
-    sums, held, most = [(np.zeros(0, _U), np.zeros(0, np.int64))], 0, FLUSHED
-    for hashes, counts in zip(group.column("hashes"), group.column("counts")):
-        n = unpack(counts.as_py(), np.uint32).astype(np.int64)
-        sums.append((unpack_sorted(hashes.as_py())[n > 0], n[n > 0]))
-        held += len(sums[-1][0])
+    keys, counts, held, most = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0, FLUSHED
+    for hashes, blob in zip(group.column("hashes"), group.column("counts")):
+        n = unpack(blob.as_py(), np.uint32).astype(np.int64)
+        keys.append(unpack_sorted(hashes.as_py())[n > 0])
+        counts.append(n[n > 0])
+        held += len(keys[-1])
         if held > most:
-            sums = [_added(*map(np.concatenate, zip(*sums)))]
-            held = len(sums[0][0])
+            keys, counts = [[x] for x in _added(keys, counts)]
+            held = len(keys[0])
             most = FLUSHED + 2 * held
-    keys, n = _with_suffixes(*_added(*map(np.concatenate, zip(*sums))))
-    out = pa.table({"ctx": (keys >> _U(8)).astype(np.int64), "sym": (keys & _U(255)).astype(np.int32), "n": n})
+    levels = _with_suffixes(*_added(keys, counts))
+    kept = _retained(levels, min_gain)
+    shown = [of | (length <= STEM) for length, of in enumerate(kept)]
+    keys, n, kept = (np.concatenate([x[s] for x, s in zip(column, shown)]) for column in (*zip(*levels), kept))
+    out = pa.table({"ctx": (keys >> _U(8)).astype(np.int64), "sym": (keys & _U(255)).astype(np.int32), "n": n, "kept": kept})
     give_back()
     return out
 
 
 def grown_tree(counts: DataFrame, scratch: Scratch, *, min_gain: float) -> DataFrame:
-    """The tree as a table (ctx, sym, n): all contexts that diverge and their suffixes. Grown from counts (ctx, sym, n) of
-    all contexts, which may be in several parts."""
-    full = scratch.table(counts.groupBy("ctx", "sym").agg(F.sum("n").alias("n")), "contexts")
+    """The tree as a table (ctx, sym, n): all contexts that diverge and their suffixes. counts (slice, chunk, hashes, counts)
+    are of the longest contexts with a symbol."""
+    grown = counts.groupBy("slice").applyInArrow(lambda group: _grown(group, min_gain), "ctx long, sym int, n long, kept boolean")
+    grown = scratch.table(grown, "grown")
+    first, beyond = int(_LEAD[STEM]), int(_LEAD[STEM + 1])
+    short = grown.where(F.col("ctx") < beyond).groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.max("kept").alias("kept"))
+    short = scratch.table(short, "short")
     # a key in hexadecimal is a leading one and two digits per symbol
     suffix = "(ctx & (shiftleft(1L, 8 * {k}) - 1)) + shiftleft(1L, 8 * {k})"
     up = F.expr(suffix.format(k="cast(length(hex(ctx)) div 2 - 1 as int)"))
-    sums = full.groupBy("ctx").agg(F.sum("n").alias("t"))
-    own = full.join(sums, "ctx")
-    parent = own.select(F.col("ctx").alias("up"), "sym", F.col("n").alias("pn"), F.col("t").alias("pt"))
+    own = short.join(short.groupBy("ctx").agg(F.sum("n").alias("t")), "ctx")
+    parent = own.where(F.col("ctx") < first).select(F.col("ctx").alias("up"), "sym", F.col("n").alias("pn"), F.col("t").alias("pt"))
     gains = own.where("ctx > 1").withColumn("up", up).join(parent, ["up", "sym"])
     gains = gains.groupBy("ctx").agg(F.sum(F.expr("n * ln((n / t) / (pn / pt))")).alias("gain")).where(F.col("gain") >= min_gain)
-    kept = gains.select("ctx").unionAll(gains.sparkSession.range(1, 2).select(F.col("id").alias("ctx")))
+    kept = gains.select("ctx").unionAll(short.where("kept").select("ctx")).unionAll(short.sparkSession.range(1, 2).select(F.col("id").alias("ctx")))
     shorter = F.expr(f"transform(sequence(0, cast(length(hex(ctx)) div 2 as int)), k -> {suffix.format(k='k')})")
-    kept = kept.select(F.explode(shorter).alias("ctx")).distinct()
-    return scratch.table(full.join(kept, "ctx", "left_semi"), "tree")
+    kept = kept.distinct().select(F.explode(shorter).alias("ctx")).distinct()
+    tree = short.join(kept, "ctx", "left_semi").select("ctx", "sym", "n").unionAll(grown.where(F.col("ctx") >= beyond).select("ctx", "sym", "n"))
+    return scratch.table(tree, "tree")
 
 
 def answered(tree: DataFrame, asked: DataFrame, bits: int, *, depth: int, weight: float) -> DataFrame:
-    """(slice, chunk, blob): log10 probabilities for the keys in `hashes` of (slice, chunk, hashes), in their order."""
+    """(slice, chunk, hashes, blob): log10 probabilities for the keys in `hashes` of (slice, chunk, hashes), in their order."""
     first = int(_LEAD[STEM])
     top = tree.where(F.col("ctx") < first).toArrow()
     names = ("ctx", "sym", "n")
@@ -274,11 +319,11 @@ def answered(tree: DataFrame, asked: DataFrame, bits: int, *, depth: int, weight
                 ends = np.cumsum([len(k) for k in keys])[:-1]
                 blobs += map(pack, np.split(own.logs_of(distinct)[where], ends))
                 keys, held = [], 0
-        out = pa.table({"slice": questions.column("slice"), "chunk": questions.column("chunk"), "blob": pa.array(blobs, pa.binary())})
+        out = questions.select(["slice", "chunk", "hashes"]).append_column("blob", pa.array(blobs, pa.binary()))
         give_back()
         return out
 
-    return branches.groupBy("slice").cogroup(asked.groupBy("slice")).applyInArrow(run, "slice int, chunk long, blob binary")
+    return branches.groupBy("slice").cogroup(asked.groupBy("slice")).applyInArrow(run, "slice int, chunk long, hashes binary, blob binary")
 
 
 def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0, weight: float = 8.0, mod: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,29 +337,37 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
     spark = docs.sparkSession
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(integer_id(docs, id_col), docs[text_col].cast("string").alias("text"))
     ends = rows.where(F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % mod, F.lit(1)) != 0).count()
-    table = chunk_table(rows, scratch, lambda data, offs: len(Words(data, offs).row))
+    table = chunk_table(rows, scratch, lambda data, offs: len(Words(data, offs, families=0).row), size=BLOCK_BYTES)
     bits = slice_bits(table.agg(F.sum("words")).first()[0] or 0)
+    tree_bits = max(4, bits - 2)  # a slice's owner holds its distinct contexts only
     texts = table.select("chunk", "ids", "sizes", "body")
 
     def ask(row: dict) -> Iterator[tuple]:
         chunk = Chunk(row)
-        words, hashed, where = _distinct(chunk)
-        train = ~held_out(chunk.ids, mod)
-        counts = np.bincount(where, weights=train[words.row], minlength=len(hashed)).astype(np.uint32)
+        known = [(np.zeros(0, _U), np.zeros(0, np.uint32))] * 2  # words and pairs so far, with counts
+        for piece in chunk.pieces():
+            words, hashed, where = _distinct(piece)
+            train = ~held_out(piece.ids, mod)
+            counts = np.bincount(where, weights=train[words.row], minlength=len(hashed))
+            units = Units(piece, words)
+            n = np.bincount(units.of_words, weights=train[words.row], minlength=units.count) + np.bincount(units.of_ends, weights=train, minlength=units.count)
+            pairs, where = np.unique(_pairs(units, depth), return_inverse=True)
+            n = np.bincount(where, weights=n[units.unit], minlength=len(pairs))
+            del words, units, where
+            found = ((hashed, counts.astype(np.uint32)), (pairs, n.astype(np.uint32)))
+            known = [_added(*zip(*both)) for both in zip(known, found)]
+            give_back()
+        (hashed, counts), (pairs, pair_counts) = known
         border = cuts(hashed, bits)
         for part in np.flatnonzero(np.diff(border)):
             own = slice(border[part], border[part + 1])
             yield int(part), chunk.key, pack_sorted(hashed[own]), pack(counts[own])
-        units = Units(chunk, words)
-        n = np.bincount(units.of_words, weights=train[words.row], minlength=units.count) + np.bincount(units.of_ends, weights=train, minlength=units.count)
-        pairs, where = np.unique(_pairs(units, depth), return_inverse=True)
-        counts = np.bincount(where, weights=n[units.unit], minlength=len(pairs)).astype(np.uint32)
-        order, border = _sliced(pairs, bits)
+        order, border = _sliced(pairs, tree_bits)
         for part in np.flatnonzero(np.diff(border)):
             own = order[border[part] : border[part + 1]]
-            yield -1 - int(part), chunk.key, pack_sorted(pairs[own]), pack(counts[own])
+            yield -1 - int(part), chunk.key, pack_sorted(pairs[own]), pack(pair_counts[own])
 
     # slices of words from 0, slices of contexts with a symbol as -1 and below
     asked = scratch.table(send(texts, ask, "slice int, chunk long, hashes binary, counts binary"), "asked")
@@ -322,28 +375,41 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
     told = scratch.table(asked.where("slice >= 0").groupBy("slice").applyInArrow(_owner, "slice int, chunk long, blob binary, a long, b long"), "told")
     sums = told.agg(F.sum("a"), F.sum("b")).first()
     n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
-    counts = about.groupBy("slice").applyInArrow(_summed, "ctx long, sym int, n long")
-    tree = grown_tree(counts, scratch, min_gain=min_gain)
-    logs = answered(tree, about.select("slice", "chunk", "hashes"), bits, depth=depth, weight=weight)
+    tree = grown_tree(about, scratch, min_gain=min_gain)
+    scratch.drop("grown", "short")
+    logs = answered(tree, about.select("slice", "chunk", "hashes"), tree_bits, depth=depth, weight=weight)
+
+    def joined(blobs: list[bytes], read: Callable) -> np.ndarray:
+        return np.concatenate([read(b) for b in blobs]) if blobs else np.zeros(0, _U)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         for row in rows_of(batches):
             chunk = Chunk(row)
-            words, hashed, where = _distinct(chunk)
-            counts = np.concatenate([unpack(b, np.uint64) for b in by_slice(row["counts"])] or [np.zeros(0, np.uint64)]).astype(np.float64)
-            size = len(chunk.ids)
-            units = Units(chunk, words)
-            pairs, asked_at = np.unique(_pairs(units, depth), return_inverse=True)
-            found = np.empty(len(pairs))
-            found[_sliced(pairs, bits)[0]] = np.concatenate([unpack(b, np.float64) for b in by_slice(row["logs"])])
-            logs = np.bincount(units.unit, weights=found[asked_at], minlength=units.count)
-            add = lambda x: np.bincount(words.row, weights=x[where], minlength=size)
-            out = [pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(held_out(chunk.ids, mod)), pa.array(words.counts + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(np.bincount(words.row, weights=logs[units.of_words], minlength=size) + logs[units.of_ends])]
+            # words are few enough to be listed again, contexts with a symbol come back with their answers
+            seen = np.unique(np.concatenate([_distinct(piece)[1] for piece in chunk.pieces()]))
+            totals = joined(by_slice(row.pop("counts")), lambda b: unpack(b, _U))
+            logs = row.pop("logs")
+            asked, found = joined(by_slice(logs, "hashes"), unpack_sorted), joined(by_slice(logs), lambda b: unpack(b, np.float64))
+            order = np.argsort(asked, kind="stable")
+            asked, found = asked[order], found[order]
+            del logs, order
+            for piece in chunk.pieces():
+                words, hashed, where = _distinct(piece)
+                counts = totals[np.searchsorted(seen, hashed)].astype(np.float64)
+                size = len(piece.ids)
+                units = Units(piece, words)
+                pairs, asked_at = np.unique(_pairs(units, depth), return_inverse=True)
+                logs = found[np.searchsorted(asked, pairs)]
+                logs = np.bincount(units.unit, weights=logs[asked_at], minlength=units.count)
+                add = lambda x: np.bincount(words.row, weights=x[where], minlength=size)  # noqa: B023, E731
+                out = [pa.array(piece.ids, mask=piece.ids == NO_ID), pa.array(held_out(piece.ids, mod)), pa.array(words.counts + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(np.bincount(words.row, weights=logs[units.of_words], minlength=size) + logs[units.of_ends])]
+                del words, units, pairs, asked_at, where
+                give_back()
+                yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
             give_back()
-            yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        give_back()
 
-    full = texts.join(answers(told.where("chunk is not null"), "counts"), "chunk", "left").join(answers(logs, "logs"), "chunk", "left")
+    told = told.where("chunk is not null").select("slice", "chunk", "blob")
+    full = texts.join(answers(told, "counts"), "chunk", "left").join(answers(logs, "logs"), "chunk", "left")
     out = full.mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
