@@ -29,6 +29,25 @@ _U = np.uint64
 _ROW_SEEDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 8, dtype=np.uint64)
 
 
+def _news(sorted_values: np.ndarray) -> np.ndarray:
+    """Where a value of an ascending array differs from the one before."""
+    new = np.ones(len(sorted_values), bool)
+    np.not_equal(sorted_values[1:], sorted_values[:-1], out=new[1:])
+    return new
+
+
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where a group begins in it) of pairs; the second key is only sorted by where equal first ones have several."""
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+    new = _news(a)
+    new[1:] |= b[1:] != b[:-1]
+    return order, new
+
+
 class Windows:
     """Windows of a chunk, grouped by content: position, group, and per group two hashes and the smallest id."""
 
@@ -36,20 +55,20 @@ class Windows:
         self.words = Words(chunk.data, chunk.offs, families=2)
         self.at, one = self.words.windows(size, 0)
         two = self.words.windows(size, 1)[1] >> _U(32)
-        order = np.lexsort((two, one))
-        one, two = one[order], two[order]
-        new = np.ones(len(one), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        order, new = _grouped(one, two)
         self.group = np.empty(len(one), np.int64)
         self.group[order] = np.cumsum(new) - 1
-        self.one, self.two = one[new], two[new].astype(np.uint32)
+        self.one, self.two = one[order][new], two[order][new].astype(np.uint32)
         ids = chunk.ids[self.words.row[self.at]]
         self.ids = ids
         self.least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(one) else ids
 
     def cells(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of one sketch row, sorted, and where each group's hash stands there."""
-        return np.unique(mix(self.one ^ _ROW_SEEDS[row]) if row else self.one, return_inverse=True)
+        if row:
+            return np.unique(mix(self.one ^ _ROW_SEEDS[row]), return_inverse=True)
+        new = _news(self.one)
+        return self.one[new], np.cumsum(new) - 1
 
 
 def _flags(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -62,7 +81,8 @@ def _sketched(cells: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, n
     """(slice, distinct cell numbers) of sorted hashes."""
     border = cuts(cells, bits)
     for part in np.flatnonzero(np.diff(border)):
-        yield int(part), np.unique(cells[border[part] : border[part + 1]] >> _U(64 - width))
+        own = cells[border[part] : border[part + 1]] >> _U(64 - width)
+        yield int(part), own[_news(own)]
 
 
 def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_per_window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,9 +111,12 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
     def merged(group: pa.Table) -> pa.Table:
         give_back()
         parts = [unpack_sorted(blob.as_py()) for blob in group.column("blob")]
-        cells, counts = np.unique(np.concatenate(parts), return_counts=True)
-        often = cells[counts > 1]
-        out = [pack(np.packbits(np.isin(p, often, assume_unique=True))) for p in parts]
+        cells = np.concatenate(parts)
+        order = np.argsort(cells)
+        same = ~_news(cells[order])
+        often = np.empty(len(cells), bool)
+        often[order] = same | np.append(same[1:], False)
+        out = [pack(np.packbits(x)) for x in np.split(often, np.cumsum([len(p) for p in parts])[:-1])]
         return pa.table({"slice": group.column("slice"), "chunk": group.column("chunk"), "blob": pa.array(out, pa.binary())})
 
     cell = "slice int, chunk long, blob binary"
@@ -105,11 +128,10 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
         for k in range(depth):
             hashes, where = windows.cells(k)
             if len(hashes):
-                own = list(_sketched(hashes, bits, width))
-                flags = _flags(blobs[: len(own)], [len(c) for _, c in own])
-                blobs = blobs[len(own) :]
-                cells = np.concatenate([c for _, c in own])
-                good &= flags[np.searchsorted(cells, hashes >> _U(64 - width))][where]
+                sizes = np.array([len(cells) for _, cells in _sketched(hashes, bits, width)])
+                flags = _flags(blobs[: len(sizes)], sizes)
+                blobs = blobs[len(sizes) :]
+                good &= flags[np.cumsum(_news(hashes >> _U(64 - width))) - 1][where]
         return good
 
     def exact(row: dict) -> Iterator[tuple]:
@@ -127,12 +149,9 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
         one = np.concatenate(one)
         two = np.concatenate([unpack(blob.as_py(), np.uint32) for blob in group.column("two")])
         ids = np.concatenate([unpack(blob.as_py(), np.int64) for blob in group.column("least")])
-        order = np.lexsort((two, one))
-        a, b = one[order], two[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        order, new = _grouped(one, two)
         least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        beaten = np.empty(len(a), bool)
+        beaten = np.empty(len(one), bool)
         beaten[order] = least < ids[order]
         out = [pack(np.packbits(x)) for x in np.split(beaten, np.cumsum(lengths)[:-1])]
         return pa.table({"slice": group.column("slice"), "chunk": group.column("chunk"), "blob": pa.array(out, pa.binary())})
