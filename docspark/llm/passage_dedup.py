@@ -159,23 +159,25 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
     asked = send(table.select("chunk", "ids", "sizes", "body").join(first, "chunk"), exact, "slice int, chunk long, one binary, two binary, least binary")
     second = scratch.table(answers(asked.groupBy("slice").applyInArrow(smallest, cell), "beaten"), "beaten")
 
+    def left(chunk: Chunk, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(words of each text, which words stay) of a chunk."""
+        windows = Windows(chunk, size)
+        gone = windows.ids > windows.least[windows.group]
+        good = np.flatnonzero(passing(windows, row))
+        sizes = np.diff(cuts(windows.one[good], bits))
+        beaten = np.zeros(len(windows.one), bool)
+        beaten[good] = _flags(by_slice(row["beaten"]), sizes[sizes > 0])
+        gone |= beaten[windows.group]
+        change = np.zeros(len(windows.words.row) + 1, np.int64)
+        np.add.at(change, windows.at[gone], 1)
+        np.add.at(change, windows.at[gone] + size, -1)
+        return windows.words.counts, np.cumsum(change)[:-1] == 0
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk(row)
-            windows = Windows(chunk, size)
-            gone = windows.ids > windows.least[windows.group]
-            good = np.flatnonzero(passing(windows, row))
-            border = cuts(windows.one[good], bits)
-            sizes = np.diff(border)
-            beaten = np.zeros(len(windows.one), bool)
-            beaten[good] = _flags(by_slice(row["beaten"]), sizes[sizes > 0])
-            gone |= beaten[windows.group]
-            words = windows.words
-            change = np.zeros(len(words.row) + 1, np.int64)
-            np.add.at(change, windows.at[gone], 1)
-            np.add.at(change, windows.at[gone] + size, -1)
-            kept = np.cumsum(change)[:-1] == 0
-            counts = words.counts
+            counts, kept = left(chunk, row)
+            give_back()  # the texts below are many small objects, which would keep the arrays' memory from the system
             border, raw, texts, removed = np.concatenate([[0], np.cumsum(counts)]), chunk.data.tobytes(), [], []
             for i, n in enumerate(counts.tolist()):
                 own, mask = raw[chunk.offs[i] : chunk.offs[i + 1]].split(), kept[border[i] : border[i + 1]]
@@ -183,7 +185,8 @@ def repeated_passages(docs: DataFrame, *, size: int = 13, depth: int = 2, cells_
                 texts.append(b" ".join(compress(own, mask) if removed[-1] else own).decode("utf-8", "replace"))
             ids = pa.array(chunk.ids, mask=chunk.ids == NO_ID)
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
-        give_back()
+            del own, mask, raw, texts
+            give_back()
 
     full = table.select("chunk", "ids", "sizes", "body").join(first, "chunk", "left").join(second, "chunk", "left")
     out = full.mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
