@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking, history, phrasing, summaries
+from docspark.operators import chunking, history, models, phrasing, retrieval, summaries
 from docspark.plans import ask
 from docspark.sources import files as sources
 from docspark.sources.store import Store
 
 MAX_UPLOAD_MB, MAX_QUESTION = 25, 1000
+#: What happens to a document and a question, stage by stage.
+PIPELINE = [
+    {"stage": "Extraction", "tech": "texts, Markdown and PDF pages as SQL expressions; repeated header lines, addresses and citation marks go"},
+    {"stage": "Chunking", "tech": "overlapping pieces inside a page; pieces of bibliographies go"},
+    {"stage": "Retrieval", "tech": f"BM25 over stems, the best {retrieval.TOP} chunks, up to {retrieval.MOST} with those of other documents"},
+    {"stage": "Grounding gate", "tech": "share of the terms' weight, words unknown to the library, statistics asked for"},
+    {"stage": "Answer", "tech": "sentences with page references, or a model that cites passages or declines"},
+    {"stage": "Storage", "tech": "Parquet tables: documents, chunks, messages"},
+]
 
 
 class RequestError(Exception):
@@ -24,18 +34,24 @@ class RequestError(Exception):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, clients: dict | None = None):
-        self.spark, self.store, self.clients = spark, Store(spark, path), clients or {}
+    """clients: the model clients by mode, such as models.configured() gives; samples: a folder of PDF files to offer."""
+
+    def __init__(self, spark: SparkSession, path: str, clients: dict | None = None, samples: str | None = None):
+        self.spark, self.store, self.clients, self.samples = spark, Store(spark, path), clients or {}, samples
         self._chunks: DataFrame | None = None
 
     # library
 
     def status(self) -> dict:
-        return {"default_mode": phrasing.resolve("auto", self.clients), "modes": ["local", *self.clients]}
+        default = models.config("auto", self.clients)
+        names = [r.name for r in sources.listing(self.spark, self.samples).collect()] if self.samples else []
+        found = {"llm_mode": default["mode"], "model": default["model"], "default_mode": default["mode"], "modes": ["local", *self.clients]}
+        return found | {"providers": models.providers(self.clients), "documents": self.store.read("documents").count(), "samples": names}
 
     def system(self) -> dict:
         row = self.store.read("documents").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages")).first()
-        return row.asDict() | {"max_upload_mb": MAX_UPLOAD_MB, "max_question": MAX_QUESTION}
+        limits = {"max_upload_mb": MAX_UPLOAD_MB, "max_question": MAX_QUESTION}
+        return row.asDict() | limits | {"pipeline": PIPELINE, "providers": models.providers(self.clients)}
 
     def list_documents(self) -> DataFrame:
         return self.store.read("documents").select("doc_id", "name", "pages", "n_chunks", "summary_mode", "created").orderBy("doc_id")
@@ -87,6 +103,19 @@ class Engine:
             frame.unpersist()
         return out
 
+    def load_sample(self, name: str, mode: str | None = "auto") -> dict:
+        """Adds a file of the samples' folder, named by its bare name, and returns its document with `duplicate`."""
+        if not self.samples or not name.endswith(".pdf") or sources.listing(self.spark, self.samples).where(F.col("name") == name).isEmpty():
+            raise RequestError(404, "No such sample.")
+        files = sources.read_files(self.spark, self.samples, "*.pdf").where(F.col("name") == name)
+        try:
+            row = self.ingest(files, mode).first()
+        except phrasing.NotConfigured as error:
+            raise RequestError(409, str(error)) from error
+        if row.error:
+            raise RequestError(422, row.error)
+        return self.document(row.doc_id) | {"duplicate": row.duplicate}
+
     def delete_document(self, doc_id: int) -> None:
         if not self.store.delete_document(doc_id):
             raise RequestError(404, "No such document.")
@@ -123,7 +152,10 @@ class Engine:
         messages = self.store.read("messages").where(F.col("scope") == scope)
         before = history.previous_questions(messages).first()
         rows = self.spark.createDataFrame([(1, scope, question, before.previous if before else None, mode)], "qid long, scope string, question string, previous string, mode string")
+        began = time.perf_counter()
         answer = self.ask_all(rows, history.turns(messages)).first().asDict(recursive=True)
+        total, phrased = round((time.perf_counter() - began) * 1000), answer["tech"]["timing_ms"]["llm"]
+        answer["tech"]["timing_ms"] = {"retrieval": total - (phrased or 0), "llm": phrased, "total": total}
         at = self.store.next_id("messages", "id")
         meta = json.dumps({k: v for k, v in answer.items() if k not in ("qid", "answer")}, default=str)
         added = self.spark.createDataFrame([(at, scope, "user", question, None), (at + 1, scope, "assistant", answer["answer"], meta)], "id long, scope string, role string, content string, meta string")

@@ -28,15 +28,22 @@ def extracted(gated: DataFrame) -> DataFrame:
     return out.withColumn("found", F.expr("nullif(array_join(chosen.lines, '\n'), '')")).withColumn("used", F.col("chosen.n")).drop("cands", "chosen")
 
 
-def answered(gated: DataFrame, phrased: DataFrame | None = None) -> DataFrame:
+#: The rule that gives a question its tier, in words.
+GATE_RULE = "high: a passage holds 0.6 of the weight of the terms, or a sentence 0.5; low: 0.2; else none"
+SUMMARY_RULE = "a summary was asked for: the stored one is the answer, nothing is searched"
+NO_MODEL = "none (no LLM used)"
+
+
+def answered(gated: DataFrame, phrased: DataFrame | None = None, models: dict[str, str] | None = None) -> DataFrame:
     """(qid, answer, status, mode, sources, coverage, note, tech) of gated questions with a column mode (resolved).
 
-    phrased: (qid, reply, tags, error) of the questions that a model phrased; an error falls back to sentences with a note.
+    phrased: (qid, reply, tags, error, ms) of the questions that a model phrased; an error falls back to sentences with a
+    note. models: the model of each mode.
     Refused are questions without passages, with tier none, and in local mode without the statistic asked for.
     """
     out = extracted(gated)
     if phrased is None:
-        out = out.withColumns({"reply": F.lit(None).cast("string"), "tags": F.expr("cast(null as array<string>)"), "error": F.lit(None).cast("string")})
+        out = out.withColumns({"reply": F.lit(None).cast("string"), "tags": F.expr("cast(null as array<string>)"), "error": F.lit(None).cast("string"), "ms": F.lit(None).cast("long")})
     else:
         out = out.join(phrased, "qid", "left")
     refused = (F.size("p") == 0) | (F.col("tier") == "none") | ((F.col("mode") == "local") & ~F.col("stat_ok"))
@@ -50,24 +57,47 @@ def answered(gated: DataFrame, phrased: DataFrame | None = None) -> DataFrame:
     out = out.withColumn("sources", F.expr(sources))
     order = "array_sort(sources, (l, r) -> case when status = 'grounded' and l.cited <> r.cited then if(l.cited, -1, 1) else l.n - r.n end)"
     out = out.withColumn("sources", F.expr(f"transform({order}, s -> named_struct('id', s.id, 'doc_id', s.doc_id, 'doc_name', s.doc_name, 'page', s.page, 'text', s.text, 'score', s.score, 'highlights', s.highlights, 'cited', s.cited, 'weak', s.weak))"))
+    called = ~F.col("refused") & (F.col("mode") != "local")
+    model = F.lit(NO_MODEL)
+    for mode, name in (models or {}).items():
+        model = F.when(F.col("by_model") & (F.col("mode") == mode), name).otherwise(model)
     tech = F.struct(
         F.col("mode").alias("requested_mode"),
         F.when(F.col("by_model"), F.col("mode")).otherwise("extractive (local)").alias("answer_engine"),
+        model.alias("model"),
         F.col("terms").alias("query_terms"),
+        F.col("searched").alias("chunks_searched"),
         F.size("p").alias("passages_retrieved"),
         F.expr("transform(p, q -> named_struct('id', concat('P', q.n), 'page', q.page, 'bm25', q.score))").alias("top_scores"),
-        F.struct("tier", "coverage", F.col("stat_ok").alias("statistic_check")).alias("gate"),
-        (~F.col("refused") & (F.col("mode") != "local")).alias("llm_called"),
+        F.struct("tier", "coverage", F.col("stat_ok").alias("statistic_check"), F.lit(GATE_RULE).alias("rule")).alias("gate"),
+        called.alias("llm_called"),
+        F.struct(F.col("ms").alias("llm")).alias("timing_ms"),
+        F.when(called, 0).alias("temperature"),
     )
     note = F.when(~F.col("refused") & F.col("error").isNotNull(), F.concat("error", F.lit(" Showing an extractive answer instead.")))
     return out.select("qid", "answer", "status", F.col("used_mode").alias("mode"), "sources", "coverage", note.alias("note"), tech.alias("tech"))
 
 
 def summary_answers(asked: DataFrame, documents: DataFrame) -> DataFrame:
-    """(qid, answer, status): the stored summaries of the scope in the order of documents, named if there are several."""
+    """(qid, answer, status, mode, coverage, sources, note, tech): the stored summaries of the scope in the order of
+    documents, named if there are several. asked: (qid, scope, mode).
+    """
     own = documents.select(F.col("doc_id").cast("string").alias("scope"), F.col("summary").alias("answer"))
     every = documents.agg(F.array_sort(F.collect_list(F.struct("doc_id", "name", "summary"))).alias("d")).where("size(d) > 0")
     text = F.expr("array_join(transform(d, x -> if(size(d) = 1, x.summary, concat(x.name, '\n', x.summary))), '\n\n')")
     stored = own.unionAll(every.select(F.lit("all").alias("scope"), text.alias("answer")))
-    found = asked.select("qid", "scope").join(stored, "scope", "left")
-    return found.select("qid", F.coalesce("answer", F.lit(NOT_FOUND)).alias("answer"), F.lit("grounded").alias("status"), F.lit("extractive").alias("mode"), F.lit(1.0).alias("coverage"))
+    found = asked.select("qid", "scope", "mode").join(stored, "scope", "left")
+    tech = F.struct(
+        F.col("mode").alias("requested_mode"),
+        F.lit("stored document summary").alias("answer_engine"),
+        F.lit("n/a (generated at upload)").alias("model"),
+        F.expr("cast(array() as array<string>)").alias("query_terms"),
+        F.lit(0).cast("long").alias("chunks_searched"),
+        F.lit(0).alias("passages_retrieved"),
+        F.expr("cast(array() as array<struct<id:string,page:int,bm25:double>>)").alias("top_scores"),
+        F.struct(F.lit("high").alias("tier"), F.lit(1.0).alias("coverage"), F.lit(True).alias("statistic_check"), F.lit(SUMMARY_RULE).alias("rule")).alias("gate"),
+        F.lit(False).alias("llm_called"),
+        F.struct(F.lit(None).cast("long").alias("llm")).alias("timing_ms"),
+        F.lit(None).cast("int").alias("temperature"),
+    )
+    return found.select("qid", F.coalesce("answer", F.lit(NOT_FOUND)).alias("answer"), F.lit("grounded").alias("status"), F.lit("extractive").alias("mode"), F.lit(1.0).alias("coverage"), F.lit(None).cast("string").alias("note"), tech.alias("tech"))

@@ -5,6 +5,7 @@ Clients run inside Python workers and must be picklable. No client is needed for
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,15 +24,22 @@ class PhrasingError(Exception):
 class NotConfigured(PhrasingError):
     """A mode was asked for that no client serves; raised before any work is done."""
 
+    HINTS = {
+        "local": "Works without settings: sentences of the documents are quoted.",
+        "anthropic": "It needs ANTHROPIC_API_KEY.",
+        "openai": "It needs LLM_API_KEY, or LLM_BASE_URL for a server without keys.",
+    }
+
     def __init__(self, mode: str):
-        super().__init__(f"The mode '{mode}' isn't configured.")
+        super().__init__(f"The mode '{mode}' isn't configured. {self.HINTS.get(mode, '')}".strip())
+        self.mode = mode
 
 
 def resolve(mode: str | None, clients: dict) -> str:
-    """The mode to use: auto, empty and None take the first client, else local."""
+    """The mode to use: auto, empty and None take anthropic, then openai, then any other client, else local."""
     mode = (mode or "auto").lower()
     if mode == "auto":
-        return next(iter(clients), "local")
+        return next((m for m in ("anthropic", "openai", *clients) if m in clients), "local")
     if mode != "local" and mode not in ("anthropic", "openai") and mode not in clients:
         raise PhrasingError(f"Unknown mode '{mode}'.")
     if mode != "local" and mode not in clients:
@@ -69,30 +77,36 @@ def prompts(gated: DataFrame, turns: DataFrame | None = None) -> DataFrame:
 
 
 def phrased(gated: DataFrame, clients: dict, turns: DataFrame | None = None) -> DataFrame:
-    """(qid, reply, tags, error): a declined reply becomes the fixed refusal without tags."""
+    """(qid, reply, tags, error, ms): a declined reply becomes the fixed refusal without tags; ms is the model's time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for qid, mode, prompt, before in zip(frame.qid, frame["mode"], frame.prompt, frame.turns):
+                began, reply, failed = time.perf_counter(), None, None
                 talk = [{"role": t["role"], "content": t["content"]} for t in (before if before is not None else ())]
                 try:
-                    rows.append((qid, clients[mode].complete(SYSTEM, [*talk, {"role": "user", "content": prompt}]), None))
+                    reply = clients[mode].complete(SYSTEM, [*talk, {"role": "user", "content": prompt}])
                 except PhrasingError as error:
-                    rows.append((qid, None, str(error)))
-            yield pd.DataFrame(rows, columns=["qid", "reply", "error"])
+                    failed = str(error)
+                rows.append((qid, reply, failed, round((time.perf_counter() - began) * 1000)))
+            yield pd.DataFrame(rows, columns=["qid", "reply", "error", "ms"])
 
-    out = prompts(gated, turns).mapInPandas(run, "qid long, reply string, error string")
+    out = prompts(gated, turns).mapInPandas(run, "qid long, reply string, error string, ms long")
     out = out.withColumn("error", F.when(F.trim("reply") == "", "The model gave an empty answer.").otherwise(F.col("error")))
     no = F.expr(declined("reply"))
-    return out.select("qid", F.when(no, NOT_FOUND).otherwise(F.col("reply")).alias("reply"), F.when(no, F.expr("cast(array() as array<string>)")).otherwise(F.expr(cited("reply"))).alias("tags"), "error")
+    return out.select("qid", F.when(no, NOT_FOUND).otherwise(F.col("reply")).alias("reply"), F.when(no, F.expr("cast(array() as array<string>)")).otherwise(F.expr(cited("reply"))).alias("tags"), "error", "ms")
 
 
 SUMMARY_SYSTEM = "Summarise the document from the text given and nothing else: first an overview of 60 words at most, then four or five lines that begin with a bullet."
 
 
 def summarised(bodies: DataFrame, client) -> DataFrame:
-    """(doc_id, summary) of (doc_id, body); null where the model fails, so that the caller falls back silently."""
+    """(doc_id, summary) of (doc_id, body); null where the model fails, so that the caller falls back silently.
+
+    A client may offer for_summaries(): the client to ask for them.
+    """
+    client = client.for_summaries() if hasattr(client, "for_summaries") else client
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -23,15 +23,17 @@ def gated(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = retrieval.understood(questions)
     asked = asked.where("not summary")
     postings, sizes = index.postings(chunks, retrieval.asked_terms(asked)), index.lengths(chunks)
-    passages, weights = retrieval.ranked(asked, postings, sizes, index.scope_stats(sizes))
-    return retrieval.gated(asked, passages, weights, chunks)
+    stats = index.scope_stats(sizes)
+    passages, weights = retrieval.ranked(asked, postings, sizes, stats)
+    searched = asked.select("qid", "scope").join(stats, "scope").select("qid", F.col("n").alias("searched"))
+    return retrieval.gated(asked, passages, weights, chunks).join(searched, "qid", "left").withColumn("searched", F.coalesce("searched", F.lit(0)))
 
 
 def answers(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, clients: dict | None = None, turns: DataFrame | None = None) -> DataFrame:
     """(qid, answer, status, mode, coverage, note, sources, tech) of every question."""
     ready = gated(questions, chunks)
     phrased = phrasing.phrased(ready, clients, turns) if clients else None
-    out = answering.answered(ready, phrased)
+    out = answering.answered(ready, phrased, {mode: getattr(client, "model", mode) for mode, client in (clients or {}).items()})
     if documents is None:
         return out
     stored = answering.summary_answers(retrieval.understood(questions).where("summary"), documents)
