@@ -21,7 +21,7 @@ PIPELINE = [
     {"stage": "Retrieval", "tech": f"BM25 over stems, the best {retrieval.TOP} chunks, up to {retrieval.MOST} with those of other documents"},
     {"stage": "Grounding gate", "tech": "share of the terms' weight, words unknown to the library, statistics asked for"},
     {"stage": "Answer", "tech": "sentences with page references, or a model that cites passages or declines"},
-    {"stage": "Storage", "tech": "Parquet tables: documents, chunks, messages"},
+    {"stage": "Storage", "tech": "Parquet tables: documents, chunks, messages; appends add files, a record makes each commit visible at once"},
 ]
 
 
@@ -72,16 +72,21 @@ class Engine:
         """Adds files (name, content) and returns (name, doc_id, duplicate, error) of each.
 
         Ids follow the order of names and contents. Files equal to one another or to stored ones are duplicates of the first,
-        whatever the mode; new files need a mode that is configured.
+        whatever the mode; new files need a mode that is configured. Empty files and files without content give an error row
+        each, files without a name are named "".
         """
-        hashed = files.withColumn("sha256", F.sha2("content", 256)).withColumn("size", F.coalesce(F.length("content"), F.lit(0)))
-        hashed = hashed.withColumn("nr", F.row_number().over(Window.orderBy("name", "sha256")))
+        hashed = files.select(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("content", F.lit(bytearray())).alias("content"))
+        hashed = hashed.withColumn("sha256", F.sha2("content", 256)).withColumn("size", F.length("content"))
+        # the order of all files takes one task: only names and hashes go there, contents are joined below
+        named = hashed.select("name", "sha256", "size").withColumn("nr", F.row_number().over(Window.orderBy("name", "sha256")))
         stored = self.store.read("documents").select("sha256", F.col("doc_id").alias("known"))
-        first = hashed.groupBy("sha256").agg(F.min("nr").alias("first"))
-        base = self.store.next_id("documents", "doc_id") - 1
-        full = hashed.join(first, "sha256").join(stored, "sha256", "left").withColumn("doc_id", F.coalesce("known", F.col("first") + base).cast("long"))
+        first = named.groupBy("sha256").agg(F.min("nr").alias("first"))
+        base = self.store.next_id("documents") - 1
+        full = named.join(first, "sha256").join(stored, "sha256", "left").withColumn("doc_id", F.coalesce("known", F.col("first") + base).cast("long"))
         full = full.withColumn("duplicate", (F.col("size") > 0) & (F.col("known").isNotNull() | (F.col("nr") != F.col("first"))))
-        fresh = full.where("not duplicate").persist()
+        full = full.persist()
+        contents = hashed.select("name", "sha256", "content").dropDuplicates(["name", "sha256"])
+        fresh = full.where("not duplicate").join(contents, ["name", "sha256"]).persist()
         large = fresh.where(f"size > {MAX_UPLOAD_MB} * 1048576").select("doc_id", "name", F.lit("The file is too large.").alias("error"))
         mode = phrasing.resolve(mode, self.clients) if not fresh.isEmpty() else "local"
         pages, errors = sources.extracted(fresh.where(f"size <= {MAX_UPLOAD_MB} * 1048576").select("doc_id", "name", "content"), pdf_pages)
@@ -93,13 +98,12 @@ class Engine:
         if mode != "local":
             told = phrasing.summarised(summaries.summary_prompts(pages), self.clients[mode]).withColumnRenamed("summary", "told")
             rows = rows.join(told, "doc_id", "left").withColumn("summary_mode", F.when(F.col("told").isNotNull(), mode).otherwise(F.col("summary_mode"))).withColumn("summary", F.coalesce("told", "summary"))
-        self.store.append("chunks", chunks.join(fresh.select("doc_id", F.col("name").alias("doc_name")), "doc_id"))
-        self.store.append("documents", rows)
+        self.store.append(chunks=chunks.join(fresh.select("doc_id", F.col("name").alias("doc_name")), "doc_id"), documents=rows)
         self.invalidate()
-        failed = errors.select("doc_id", "error")
+        failed = errors.select("doc_id", "error").dropDuplicates(["doc_id"])
         out = full.join(failed, "doc_id", "left").select("name", F.when(F.col("error").isNull(), F.col("doc_id")).alias("doc_id"), "duplicate", "error").orderBy("name")
         out = self.spark.createDataFrame(out.collect(), out.schema)  # one short row per file of this call
-        for frame in (fresh, pages, errors):
+        for frame in (full, fresh, pages, errors):
             frame.unpersist()
         return out
 
@@ -156,10 +160,10 @@ class Engine:
         answer = self.ask_all(rows, history.turns(messages)).first().asDict(recursive=True)
         total, phrased = round((time.perf_counter() - began) * 1000), answer["tech"]["timing_ms"]["llm"]
         answer["tech"]["timing_ms"] = {"retrieval": total - (phrased or 0), "llm": phrased, "total": total}
-        at = self.store.next_id("messages", "id")
+        at = self.store.next_id("messages")
         meta = json.dumps({k: v for k, v in answer.items() if k not in ("qid", "answer")}, default=str)
         added = self.spark.createDataFrame([(at, scope, "user", question, None), (at + 1, scope, "assistant", answer["answer"], meta)], "id long, scope string, role string, content string, meta string")
-        self.store.append("messages", added.withColumn("created", F.current_timestamp()))
+        self.store.append(messages=added.withColumn("created", F.current_timestamp()))
         return answer
 
     def ask_all(self, questions: DataFrame, turns: DataFrame | None = None) -> DataFrame:
@@ -173,5 +177,4 @@ class Engine:
         return history.latest(self.store.read("messages").where(F.col("scope") == scope), limit).orderBy("id")
 
     def clear_history(self, scope="all") -> None:
-        self.store.remember("messages", "id")
-        self.store.replace("messages", history.without_scope(self.store.read("messages"), str(scope)))
+        self.store.replace(messages=history.without_scope(self.store.read("messages"), str(scope)))

@@ -97,7 +97,7 @@ def test_model_summaries(engine, spark):
         assert doc["summary_mode"] == mode and (doc["summary"] == "A summary.") == (mode == "openai")
         engine.delete_document(got.doc_id)
     engine.clients = {}
-    assert engine.store.next_id("documents", "doc_id") == 5  # ids of deleted documents aren't given again
+    assert engine.store.next_id("documents") == 5  # ids of deleted documents aren't given again
 
 
 def test_delete(engine, spark):
