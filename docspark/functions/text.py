@@ -32,11 +32,16 @@ def strip(text: str) -> str:
 
 
 def clean(text: str) -> str:
-    """NULs and URLs to blanks; hyphenated line ends and citation marks out; runs of blanks and tabs to one; stripped."""
-    out = f"translate({text}, '\\0', ' ')"
-    for pattern, to in ((r"-\n(?=[a-z])", ""), (rf"(?i)\[{BLANK}*(?:\p{{Nd}}+|citation needed|note \p{{Nd}}+){BLANK}*\]", ""), (r"(?:https?://|www\.)[^\s\x1c-\x1f\x85\p{Z}]+", " "), (r"[ \t]+", " ")):
-        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to)})"
-    return strip(out)
+    """NULs and URLs to blanks; hyphenated line ends and citation marks out; runs of blanks and tabs to one; stripped.
+
+    Each step is left out of texts without a sign of it, which a plain search tells.
+    """
+    marked = rf"(?i)\[{BLANK}*(?:\p{{Nd}}+|citation needed|note \p{{Nd}}+){BLANK}*\]"
+    steps = [("-\\n(?=[a-z])", "", "contains(c, '-\\n')"), (marked, "", "contains(c, '[')"), (r"(?:https?://|www\.)[^\s\x1c-\x1f\x85\p{Z}]+", " ", "contains(c, '://') or contains(c, 'www.')"), (r"[ \t]+", " ", "contains(c, '  ') or contains(c, '\\t')")]
+    out = let("c", text, "if(contains(c, '\\0'), translate(c, '\\0', ' '), c)")
+    for pattern, to, sign in steps:
+        out = let("c", out, f"if({sign}, regexp_replace(c, {quoted(pattern)}, {quoted(to)}), c)")
+    return let("c", out, f"if(left(c, 1) rlike {quoted(BLANK)} or right(c, 1) rlike {quoted(BLANK)}, {strip('c')}, c)")
 
 
 def flatten(text: str) -> str:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, IntegralType, StructField, StructType
 
 from docspark.functions import text as T
 from docspark.functions.words import SUMMARY_STEMS, SUMMARY_WORDS
+from docspark.operators import index, search
 from docspark.operators.index import B, K1, idf
 
 TOP, MOST, FLOOR = 6, 8, 0.4
 FOLLOW_UP = r"(?i)\b(it|its|they|their|them|this|that|those|these|he|she|there|one|ones|also|more)\b"
 STATISTIC = r"(?i)\b(percent|percentage|percentages|statistic|statistics|proportion|rate of|fraction|share of)\b"
 _SUMMARY = T.words_in(dict.fromkeys([*map(T.stemmed, SUMMARY_WORDS), *SUMMARY_STEMS]))
-#: Distinct terms of a batch of questions that are picked from the texts by a broadcast; more are joined after a shuffle.
+#: Distinct terms of a batch of questions that are looked up in the texts word by word; more are joined after a shuffle.
 MOST_TERMS = 100_000
+#: Terms of a batch, each counted for every question that has it, that are held by the driver and by each task.
+MOST_PARTS = 1_000_000
 
 
 def understood(questions: DataFrame) -> DataFrame:
@@ -30,42 +38,118 @@ def understood(questions: DataFrame) -> DataFrame:
     return out.withColumn("proper", F.expr(T.proper_terms("question"))).withColumn("summary", asked).drop("raw", "own")
 
 
-def asked_terms(asked: DataFrame) -> DataFrame:
-    """(term) that the questions look up, each once."""
-    terms = asked.select(F.explode(F.expr("array_union(terms, proper)")).alias("term")).distinct()
-    return F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
+def _each(asked: DataFrame) -> DataFrame:
+    """(qid, scope, size, pos, term): terms and proper words of questions together; pos is the place in their union."""
+    return asked.select("qid", "scope", F.size("terms").alias("size"), F.posexplode(F.expr("array_union(terms, proper)")).alias("pos", "term"))
+
 
+def searched(asked: DataFrame, chunks: DataFrame, fill: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(passages, weights, stats) of questions over chunks (doc_id, idx, text): those of `ranked`, and (scope, n, avg).
 
-def weighed(asked: DataFrame, index: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    The search is done when this returns, unless the batch is one of more than MOST_TERMS terms or MOST_PARTS pairs of a
+    question and a term, or ids are no whole numbers: those are joined by the plan. Without `fill` passages end with the first six.
+    """
+    each = _each(asked)
+    terms, parts = each.agg(F.countDistinct("term"), F.count("*")).first()
+    if terms > MOST_TERMS or parts > MOST_PARTS or not all(isinstance(chunks.schema[c].dataType, IntegralType) for c in ("doc_id", "idx")):
+        sizes, only = index.lengths(chunks), each.select("term").distinct()
+        stats = index.scope_stats(sizes)
+        passages, weights = ranked(asked, index.postings(chunks, F.broadcast(only) if terms <= MOST_TERMS else only), sizes, stats)
+        return (passages if fill else passages.where(f"n <= {TOP}")), weights, stats
+    rows = each.collect()
+    names = list(dict.fromkeys(r.term for r in rows))
+    counts = search.counted(chunks, names).persist()
+    try:
+        if not counts.groupBy("doc_id", "idx").count().where("count > 1").isEmpty():
+            once = search.merged(counts).persist()
+            counts.unpersist()
+            counts = once
+        return _searched(asked, rows, names, counts, fill)
+    finally:
+        counts.unpersist()
+
+
+def _searched(asked: DataFrame, rows: list, names: list[str], counts: DataFrame, fill: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `searched` returns, as small tables, from counts of the terms `names`; rows: (qid, scope, size, pos, term)."""
+    spark = counts.sparkSession
+    questions = list(dict.fromkeys((r.qid, r.scope) for r in rows))
+    number, code = {q: k for k, q in enumerate(questions)}, {t: k for k, t in enumerate(names)}
+    scopes = sorted({r.scope for r in rows if r.scope not in (None, "all")})
+    own = counts.withColumn("scope", F.col("doc_id").cast("string")).join(F.broadcast(spark.createDataFrame(pa.table({"scope": pa.array(scopes, pa.string())}))), "scope") if scopes else None
+    every = counts.withColumn("scope", F.lit("all"))
+    lens = lambda of: of.select("scope", F.explode("lens").alias("len")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    found = lambda of: of.select("scope", F.explode("codes").alias("code")).groupBy("scope", "code").agg(F.count("*").alias("df"))
+    stats = {r.scope: (r.n, r.avg or 0.0) for r in (lens(every) if own is None else lens(every).unionAll(lens(own))).collect()}
+    df = {(r.scope, r.code): r.df for r in (found(every) if own is None else found(every).unionAll(found(own))).collect()}
+    facts = [(df.get((r.scope, code[r.term]), 0), *stats.get(r.scope, (0, 0.0))) for r in rows]
+    kind = asked.schema["qid"].dataType
+    weights = _local(spark, [(r.qid, r.pos, r.term, *f) for r, f in zip(rows, facts)], StructType([StructField("qid", kind)]), "pos int, term string, df long, n long, avg double").withColumn("idf", idf())
+    distinct = list(dict.fromkeys(facts))
+    value = dict(zip(distinct, (r.idf for r in _local(spark, [(k, *f) for k, f in enumerate(distinct)], StructType(), "k int, df long, n long, avg double").withColumn("idf", idf()).orderBy("k").collect())))
+    parts = [(code[r.term], number[r.qid, r.scope], r.pos, value[f], f[2]) for r, f in zip(rows, facts) if r.pos < r.size and f[0] > 0]
+    known = search.Weights(parts, [None if scope == "all" else scope or "" for _, scope in questions])
+    top = search.best(counts, known, TOP)
+    top = top.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*_better()))).where(F.col("n") <= TOP).select("q", "n", "doc_id", "idx", "score").collect()
+    passages = [tuple(r) for r in top]
+    if fill:
+        chosen = defaultdict(list)
+        for r in top:
+            chosen[r.q].append(r)
+        floors = [FLOOR * max((r.score for r in chosen[q]), default=0.0) if scope == "all" and chosen[q] else float("inf") for q, (_, scope) in enumerate(questions)]
+        # the first documents by id that reach the floor: of those, TOP may be among the first passages
+        rest = search.first(counts, known, MOST + TOP, floors)
+        rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("q", "doc_id").orderBy(*_better()))).where("r = 1").orderBy("q", "doc_id").select("q", "doc_id", "idx", "score")
+        taken = {q: {r.doc_id for r in chosen[q]} for q in range(len(questions))}
+        had = {q: len(chosen[q]) for q in range(len(questions))}
+        for r in rest.toLocalIterator():
+            if r.score >= floors[r.q] and r.doc_id not in taken[r.q] and had[r.q] < MOST:
+                had[r.q] += 1
+                passages.append((r.q, had[r.q], r.doc_id, r.idx, r.score))
+    ids = StructType([StructField("qid", kind), StructField("n", IntegerType()), counts.schema["doc_id"], counts.schema["idx"]])
+    passages = _local(spark, [(questions[q][0], *rest) for q, *rest in passages], ids, "score double")
+    return passages, weights, _local(spark, [(s, *v) for s, v in stats.items()], StructType(), "scope string, n long, avg double")
+
+
+def _local(spark, rows: list[tuple], first: StructType, others: str) -> DataFrame:
+    """A small table of rows that the driver has."""
+    schema = StructType([*first.fields, *StructType.fromDDL(others).fields])
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)], names=schema.names), schema)
+
+
+def _better() -> list[Column]:
+    return [F.desc(F.round("score", 9)), F.col("doc_id"), F.col("idx")]
+
+
+def weighed(asked: DataFrame, postings: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, weights): (qid, doc_id, idx, pos, tf) of the chunks with a term, and (qid, pos, term, df, idf, n, avg).
 
     Terms and proper words are looked up together; pos is the place in their union.
     """
-    each = asked.select("qid", "scope", F.posexplode(F.expr("array_union(terms, proper)")).alias("pos", "term"))
-    hits = index.join(each, "term").where("scope = 'all' or scope = cast(doc_id as string)").select("qid", "scope", "pos", "doc_id", "idx", "tf")
+    each = _each(asked).drop("size")
+    hits = postings.join(each, "term").where("scope = 'all' or scope = cast(doc_id as string)").select("qid", "scope", "pos", "doc_id", "idx", "tf")
     found = hits.groupBy("qid", "pos").agg(F.count("*").alias("df"))
     weights = each.join(found, ["qid", "pos"], "left").join(stats, "scope", "left")
     weights = weights.select("qid", "pos", "term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("avg", F.lit(0.0)).alias("avg"))
     return hits, weights.withColumn("idf", idf())
 
 
-def ranked(asked: DataFrame, index: DataFrame, sizes: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ranked(asked: DataFrame, postings: DataFrame, sizes: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(passages, weights): (qid, n, doc_id, idx, score) by BM25, and the weights of the questions' terms.
 
     The first six chunks, then, in scope `all`, the best chunk of each other document in ascending order while it reaches
     0.4 of the first and there are fewer than eight. Contributions are added in the order of terms; ties go to the earlier chunk.
     """
-    hits, weights = weighed(asked, index, stats)
+    hits, weights = weighed(asked, postings, stats)
     own = asked.select("qid", F.size("terms").alias("size"))
     parts = hits.join(own, "qid").where("pos < size").join(weights.select("qid", "pos", "idf", "avg"), ["qid", "pos"]).join(sizes, ["doc_id", "idx"])
     parts = parts.withColumn("part", F.expr(f"idf * tf * {K1 + 1}D / (tf + {K1}D * (1 - {B}D + {B}D * len / if(avg = 0, 1, avg)))"))
     scored = parts.groupBy("qid", "scope", "doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     scored = scored.select("qid", "scope", "doc_id", "idx", F.expr("aggregate(parts, 0D, (s, p) -> s + p.part)").alias("score"))
-    better = [F.desc(F.round("score", 9)), "doc_id", "idx"]
-    top = scored.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*better))).where(F.col("n") <= TOP)
+    top = scored.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*_better()))).where(F.col("n") <= TOP)
     first = top.groupBy("qid").agg(F.max("score").alias("best"), F.max("n").alias("had"))
     rest = scored.where("scope = 'all'").join(top.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
-    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(*better))).where("r = 1").join(first, "qid").where(f"score >= {FLOOR} * best")
+    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(*_better()))).where("r = 1").join(first, "qid").where(f"score >= {FLOOR} * best")
     # six of a question's chunks may be had: a limit on n alone is pushed below the shuffle
     rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(f"n < {MOST} and n + had <= {MOST}").withColumn("n", F.col("n") + F.col("had"))
     columns = ["qid", "n", "doc_id", "idx", "score"]
@@ -83,6 +167,8 @@ def gated(asked: DataFrame, passages: DataFrame, weights: DataFrame, chunks: Dat
 
     p: array of (n, doc_id, doc_name, page, idx, text, score, terms, sentences of (text, terms)) in order.
     """
+    # the documents are looked up first: a condition on doc_id goes below the numbering of chunks
+    chunks = chunks.join(F.broadcast(passages.select("doc_id").distinct()), "doc_id", "left_semi")
     full = passages.join(chunks, ["doc_id", "idx"])
     sents = f"transform({T.sentences('text')}, s -> named_struct('text', s, 'terms', {T.terms('s')}))"
     full = full.select("qid", F.struct("n", "doc_id", "doc_name", "page", "idx", "text", F.round("score", 3).alias("score"), F.expr(T.terms("text")).alias("terms"), F.expr(sents).alias("sentences")).alias("p"))

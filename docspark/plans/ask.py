@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.operators import answering, chunking, index, phrasing, retrieval, summaries
+from docspark.operators import answering, chunking, phrasing, retrieval, summaries
 
 
 def library(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,9 +22,7 @@ def gated(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Questions (qid, scope, question, previous, mode) with their passages and gate; chunks have doc_name."""
     asked = retrieval.understood(questions)
     asked = asked.where("not summary")
-    postings, sizes = index.postings(chunks, retrieval.asked_terms(asked)), index.lengths(chunks)
-    stats = index.scope_stats(sizes)
-    passages, weights = retrieval.ranked(asked, postings, sizes, stats)
+    passages, weights, stats = retrieval.searched(asked, chunks)
     searched = asked.select("qid", "scope").join(stats, "scope").select("qid", F.col("n").alias("searched"))
     return retrieval.gated(asked, passages, weights, chunks).join(searched, "qid", "left").withColumn("searched", F.coalesce("searched", F.lit(0)))
 
