@@ -23,6 +23,8 @@ _SUMMARY = T.words_in(dict.fromkeys([*map(T.stemmed, SUMMARY_WORDS), *SUMMARY_ST
 MOST_TERMS = 100_000
 #: Terms of a batch, each counted for every question that has it, that are held by the driver and by each task.
 MOST_PARTS = 1_000_000
+#: Documents whose texts are looked up by a condition that goes down to the scan; more are joined.
+MOST_DOCS = 10_000
 
 
 def understood(questions: DataFrame) -> DataFrame:
@@ -43,8 +45,9 @@ def _each(asked: DataFrame) -> DataFrame:
     return asked.select("qid", "scope", F.size("terms").alias("size"), F.posexplode(F.expr("array_union(terms, proper)")).alias("pos", "term"))
 
 
-def searched(asked: DataFrame, chunks: DataFrame, fill: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(passages, weights, stats) of questions over chunks (doc_id, idx, text): those of `ranked`, and (scope, n, avg).
+def searched(asked: DataFrame, chunks: DataFrame, fill: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, list | None]:
+    """(passages, weights, stats, docs) of questions over chunks (doc_id, idx, text): those of `ranked`, (scope, n, avg), and
+    the doc_ids of the passages where they are known and MOST_DOCS at most, else None.
 
     The search is done when this returns, unless the batch is one of more than MOST_TERMS terms or MOST_PARTS pairs of a
     question and a term, or ids are no whole numbers: those are joined by the plan. Without `fill` passages end with the first six.
@@ -55,7 +58,7 @@ def searched(asked: DataFrame, chunks: DataFrame, fill: bool = True) -> tuple[Da
         sizes, only = index.lengths(chunks), each.select("term").distinct()
         stats = index.scope_stats(sizes)
         passages, weights = ranked(asked, index.postings(chunks, F.broadcast(only) if terms <= MOST_TERMS else only), sizes, stats)
-        return (passages if fill else passages.where(f"n <= {TOP}")), weights, stats
+        return (passages if fill else passages.where(f"n <= {TOP}")), weights, stats, None
     rows = each.collect()
     names = list(dict.fromkeys(r.term for r in rows))
     counts = search.counted(chunks, names).persist()
@@ -69,7 +72,7 @@ def searched(asked: DataFrame, chunks: DataFrame, fill: bool = True) -> tuple[Da
         counts.unpersist()
 
 
-def _searched(asked: DataFrame, rows: list, names: list[str], counts: DataFrame, fill: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _searched(asked: DataFrame, rows: list, names: list[str], counts: DataFrame, fill: bool) -> tuple[DataFrame, DataFrame, DataFrame, list | None]:
     """What `searched` returns, as small tables, from counts of the terms `names`; rows: (qid, scope, size, pos, term)."""
     spark = counts.sparkSession
     questions = list(dict.fromkeys((r.qid, r.scope) for r in rows))
@@ -105,9 +108,11 @@ def _searched(asked: DataFrame, rows: list, names: list[str], counts: DataFrame,
             if r.score >= floors[r.q] and r.doc_id not in taken[r.q] and had[r.q] < MOST:
                 had[r.q] += 1
                 passages.append((r.q, had[r.q], r.doc_id, r.idx, r.score))
+    docs = sorted({p[2] for p in passages})
     ids = StructType([StructField("qid", kind), StructField("n", IntegerType()), counts.schema["doc_id"], counts.schema["idx"]])
     passages = _local(spark, [(questions[q][0], *rest) for q, *rest in passages], ids, "score double")
-    return passages, weights, _local(spark, [(s, *v) for s, v in stats.items()], StructType(), "scope string, n long, avg double")
+    stats = _local(spark, [(s, *v) for s, v in stats.items()], StructType(), "scope string, n long, avg double")
+    return passages, weights, stats, docs if len(docs) <= MOST_DOCS else None
 
 
 def _local(spark, rows: list[tuple], first: StructType, others: str) -> DataFrame:
@@ -167,8 +172,6 @@ def gated(asked: DataFrame, passages: DataFrame, weights: DataFrame, chunks: Dat
 
     p: array of (n, doc_id, doc_name, page, idx, text, score, terms, sentences of (text, terms)) in order.
     """
-    # the documents are looked up first: a condition on doc_id goes below the numbering of chunks
-    chunks = chunks.join(F.broadcast(passages.select("doc_id").distinct()), "doc_id", "left_semi")
     full = passages.join(chunks, ["doc_id", "idx"])
     sents = f"transform({T.sentences('text')}, s -> named_struct('text', s, 'terms', {T.terms('s')}))"
     full = full.select("qid", F.struct("n", "doc_id", "doc_name", "page", "idx", "text", F.round("score", 3).alias("score"), F.expr(T.terms("text")).alias("terms"), F.expr(sents).alias("sentences")).alias("p"))

@@ -22,7 +22,9 @@ def gated(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Questions (qid, scope, question, previous, mode) with their passages and gate; chunks have doc_name."""
     asked = retrieval.understood(questions)
     asked = asked.where("not summary")
-    passages, weights, stats = retrieval.searched(asked, chunks)
+    passages, weights, stats, docs = retrieval.searched(asked, chunks)
+    if docs is not None:  # only these documents are read and cut again for the passages' texts
+        chunks = chunks.where(F.col("doc_id").isin(docs))
     searched = asked.select("qid", "scope").join(stats, "scope").select("qid", F.col("n").alias("searched"))
     return retrieval.gated(asked, passages, weights, chunks).join(searched, "qid", "left").withColumn("searched", F.coalesce("searched", F.lit(0)))
 

@@ -34,6 +34,16 @@ def test_bm25_topk_reads_each_passage_once(spark, monkeypatch):
     assert got and counter.value == passages.count()
 
 
+def test_document_answers_cuts_texts_once_and_those_of_passages_again(spark, monkeypatch):
+    plan = queries.document_answers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [row_number() windowspecdefinition(doc_id") :]
+    assert "doc_id" in below and ("doc_id#" in below and (" INSET " in below or " IN (" in below))
+    docs = queries._docs(spark, SF)
+    frame, counter = read_by(spark, docs)
+    monkeypatch.setattr(queries, "_docs", lambda *_: frame)
+    assert queries.document_answers(spark, SF).collect() and counter.value <= 2 * docs.count()
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_search_is_the_ranking_of_the_plan(spark, monkeypatch, repeated):
     rng = random.Random(3)
