@@ -9,8 +9,9 @@ count times the Kullback-Leibler divergence must reach `min_gain` nats. Suffixes
 A state's distribution is smoothed by its suffix's, which counts as `weight` observations; below the empty context lies
 the uniform one over 257 symbols. Each symbol is scored with the longest retained suffix of its context.
 
-A word with what precedes it is a *unit*; distinct units are spelled and scored once per piece of a chunk. For the word
-scores, chunks send their distinct words with counts to slices of the hash, whose owners answer with the corpus counts.
+Texts are worked on in pieces of `PIECE_BYTES`, spelled as symbols in which each context with what follows is one 64-bit
+key. For the word scores, chunks send their distinct words with counts to slices of the hash, whose owners answer with the
+corpus counts.
 
 The tree grows with the corpus and is never in one place. It is a table in slices by the last `STEM` symbols of a context,
 so that a slice has whole branches; its owner adds up the counts and tests all contexts longer than that, which have their
@@ -22,15 +23,15 @@ their distinct contexts with a symbol: most recur within a chunk, so that questi
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.kernels import _LOWER, Index, Words, give_back, mix, pack, pack_sorted, unpack, unpack_sorted
-from docspark.llm.packed import NO_ID, Chunk, Piece, answers, by_slice, chunk_table, cuts, rows_of, send, slice_bits
+from docspark.llm.kernels import _LOWER, _SPACE, Index, Words, give_back, mix, pack, pack_sorted, unpack, unpack_sorted
+from docspark.llm.packed import NO_ID, Chunk, Piece, chunk_table, cuts, send, slice_bits
 from docspark.llm.scratch import Scratch, integer_id
 
 _U = np.uint64
@@ -43,8 +44,12 @@ STEM = 3
 FLUSHED = 1_000_000
 #: Bytes of the texts of a chunk, about.
 BLOCK_BYTES = 16 << 20
+#: Bytes of the texts of a chunk that are worked on at once, about; whole texts are.
+PIECE_BYTES = 1 << 19
 #: Symbols that are scored at once.
 SCORED = 1 << 18
+#: Symbols of a piece that are counted or looked up at once.
+SORTED = 1 << 18
 
 
 def held_out(ids: np.ndarray, mod: int = 10, rest: int = 0) -> np.ndarray:
@@ -52,68 +57,46 @@ def held_out(ids: np.ndarray, mod: int = 10, rest: int = 0) -> np.ndarray:
     return np.array([i != NO_ID and zlib.crc32(b"%d" % i) % mod == rest for i in ids.tolist()], bool)
 
 
-class Units:
-    """Distinct units of a piece: `of_words` and `of_ends` name the unit of each word and of each row's end token;
-    `symbols` spells all units, and the symbols to predict are at `at`, for `unit`, with `reach` symbols before them."""
-
-    def __init__(self, chunk: Piece, words: Words):
-        rows, n, data = len(chunk.ids), len(words.row), chunk.data
-        counts = words.counts
-        last = np.cumsum(counts) - 1  # the last word of each row that has one
-        before = np.concatenate([np.arange(n) - 1, np.where(counts > 0, last, -1)])
-        before[np.flatnonzero(np.diff(words.row, prepend=-1))] = -1
-        length = words.ends - words.starts
-        known = before >= 0
-        reached = np.where(known, np.minimum(CROSSED, length[before] + 1), 0) if n else np.zeros(rows, np.int64)
-        kept = np.full((n + rows, CROSSED), BLANK, np.uint8)  # symbols before the blank, nearest first
-        for j in range(CROSSED):
-            inside = np.flatnonzero(known & (reached > j))
-            inside = inside[length[before[inside]] > j] if n else inside
-            kept[inside, j] = _LOWER[data[words.ends[before[inside]] - 1 - j]]
-        code = reached.astype(_U)
-        for j in range(CROSSED):
-            code = code * _U(256) + np.where(reached > j, kept[:, j], 0).astype(_U)
-        key = mix(np.concatenate([words.hashes[0], np.full(rows, 1, _U)]) ^ mix(code + _U(9)))
-        _, first, where = np.unique(key, return_index=True, return_inverse=True)
-        self.of_words, self.of_ends, self.count = where[:n], where[n:], len(first)
-        end = first >= n
-        lead = reached[first]
-        body = np.where(end, 1, np.concatenate([length, np.ones(rows, np.int64)])[first])
-        size = lead + 1 + body + ~end
-        start = np.cumsum(size) - size
-        self.symbols = np.full(int(size.sum()), BLANK, np.uint8)
-        for j in range(CROSSED):
-            own = np.flatnonzero(lead > j)
-            self.symbols[start[own] + lead[own] - 1 - j] = kept[first[own], j]
-        self.symbols[(start + lead + 1)[end]] = END
-        own = np.flatnonzero(~end)
-        steps = np.arange(int(body[own].sum())) - np.repeat(np.cumsum(body[own]) - body[own], body[own])
-        if len(own):
-            self.symbols[np.repeat((start + lead + 1)[own], body[own]) + steps] = _LOWER[data[np.repeat(words.starts[first[own]], body[own]) + steps]]
-        asked = size - lead - 1
-        self.unit = np.repeat(np.arange(len(first), dtype=np.int32), asked)
-        self.reach = np.repeat(lead + 1 - np.cumsum(asked) + asked, asked) + np.arange(len(self.unit))
-        self.at = (np.repeat(start, asked) + self.reach).astype(np.int32)
-        self.reach = np.minimum(self.reach, 7).astype(np.int8)
-
-
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)], _U)
 _LEAD = np.array([1 << 8 * k for k in range(8)], _U)
 _SPREAD = 2654435761
 
 
-def _contexts(units: Units, depth: int) -> np.ndarray:
-    """Keys of the longest contexts: up to `depth` (of 6) symbols in base 256, the nearest last, below a leading one."""
-    code = np.zeros(len(units.symbols), _U)
-    for back in range(1, depth + 1):
-        code[back:] |= units.symbols[:-back].astype(_U) << _U(8 * (back - 1))
-    size = np.minimum(units.reach, depth)
-    return code[units.at] & _MASK[size] | _LEAD[size]
-
+class Spelling:
+    """The symbols of a piece's rows: a blank that isn't predicted, each word with its closing blank, and the end. `rows` has
+    where each row begins and, last, the size; `_size` the length of each symbol's longest context, of `depth` (of 6) at most."""
 
-def _pairs(units: Units, depth: int) -> np.ndarray:
-    """Keys of the contexts, each with the symbol that follows."""
-    return _contexts(units, depth) * _U(256) + units.symbols[units.at].astype(_U)
+    def __init__(self, piece: Piece, words: Words, depth: int):
+        rows, length = len(piece.ids), words.ends - words.starts
+        counts = words.counts
+        after = np.concatenate([[0], np.cumsum(length + 1)])  # symbols of the words up to each
+        self.rows = 2 * np.arange(rows + 1) + after[np.concatenate([[0], np.cumsum(counts)])]
+        begin = after[:-1] + 2 * words.row + 1
+        ends = self.rows[1:] - 1
+        self._symbols = np.full(int(self.rows[-1]) + 7, BLANK, np.uint8)  # seven before the first, for the view below
+        symbols = self._symbols[7:]
+        own = np.ones(len(symbols), bool)
+        own[begin + length] = own[ends] = own[self.rows[:-1]] = False
+        symbols[own] = _LOWER[piece.data[~_SPACE[piece.data]]]
+        symbols[ends] = END
+        del own
+        lead = np.zeros(len(length), np.uint8)  # symbols before the blank that a word's contexts reach
+        lead[1:] = np.where(words.row[1:] == words.row[:-1], np.minimum(CROSSED, length[:-1] + 1), 0)
+        last = np.zeros(rows, np.uint8)
+        some = counts > 0
+        last[some] = np.minimum(CROSSED, length[np.cumsum(counts)[some] - 1] + 1)
+        self._size = np.full(len(symbols), depth, np.uint8)
+        self._size[ends] = np.minimum(depth, last + 1)
+        for j in range(depth - 1):
+            there = length >= j
+            self._size[begin[there] + j] = np.minimum(depth, lead[there] + (j + 1))
+        # each symbol with the seven before it, as a number in base 256
+        self._read = np.ndarray(len(symbols), ">u8", self._symbols, strides=(1,))
+
+    def pairs(self, start: int, stop: int) -> np.ndarray:
+        """Keys of the symbols' contexts, each with the symbol: in base 256, the nearest last, below a leading one."""
+        size = self._size[start:stop]
+        return self._read[start:stop].astype(_U) & _MASK[1:][size] | _LEAD[1:][size]
 
 
 def _lengths(contexts: np.ndarray) -> np.ndarray:
@@ -122,9 +105,10 @@ def _lengths(contexts: np.ndarray) -> np.ndarray:
 
 def _sliced(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of keys by the slice of their context, and the borders of the slices in it."""
-    slices = ((pairs >> _U(8) & _MASK[STEM]) * _U(_SPREAD) & _MASK[4]) >> _U(32 - bits)
-    order = np.argsort(slices, kind="stable")
-    return order, np.searchsorted(slices[order], np.arange((1 << bits) + 1, dtype=_U))
+    slices = np.empty(len(pairs), np.uint16 if bits < 16 else np.uint32)
+    for at in range(0, len(pairs), SCORED):
+        slices[at : at + SCORED] = ((pairs[at : at + SCORED] >> _U(8) & _MASK[STEM]) * _U(_SPREAD) & _MASK[4]) >> _U(32 - bits)
+    return np.argsort(slices, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(slices, minlength=1 << bits))])
 
 
 class SuffixTree:
@@ -203,6 +187,49 @@ def _added(keys: Sequence[np.ndarray], n: Sequence[np.ndarray]) -> tuple[np.ndar
     return keys[first], np.add.reduceat(n[order], first, dtype=n.dtype)
 
 
+class Sums:
+    """Counts of keys that come in sorted parts, added up whenever as many again are held, one range of keys at a time."""
+
+    def __init__(self, ranges: int = 16):
+        self._ranges, self._borders, self._held, self._known = [([], []) for _ in range(ranges)], None, 0, 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        if self._borders is None and len(keys):
+            self._borders = keys[np.arange(1, len(self._ranges)) * len(keys) // len(self._ranges)]
+        for own, k, x in zip(self._ranges, *(np.split(a, np.searchsorted(keys, self._borders)) for a in (keys, n))) if len(keys) else ():
+            own[0].append(k.copy())
+            own[1].append(x.copy())
+        self._held += len(keys)
+        if self._held > self._known:
+            self._sum()
+
+    def _sum(self) -> None:
+        for own in self._ranges:
+            if own[0]:
+                own[0][:], own[1][:] = ([x] for x in _added(*own))
+        self._held, self._known = 0, sum(len(k) for keys, _ in self._ranges for k in keys)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys with their counts; nothing is held any more."""
+        self._sum()
+        keys, n = ([x for own in self._ranges for x in own[i]] for i in (0, 1))
+        self.__init__(len(self._ranges))
+        return np.concatenate([np.zeros(0, _U), *keys]), np.concatenate([np.zeros(0, np.uint32), *n])
+
+
+def _parts(spelling: Spelling) -> Iterator[tuple[slice, int, int]]:
+    """Runs of about SORTED symbols of a piece, with the rows that they are of."""
+    for start in range(0, int(spelling.rows[-1]), SORTED):
+        stop = min(start + SORTED, int(spelling.rows[-1]))
+        yield slice(int(np.searchsorted(spelling.rows, start, "right")) - 1, int(np.searchsorted(spelling.rows, stop))), start, stop
+
+
+def _firsts(spelling: Spelling, rows: slice, start: int) -> np.ndarray:
+    """Places of the rows' first blanks in the part that begins at `start`."""
+    at = spelling.rows[rows] - start
+    return at[at >= 0]
+
+
 def _owner(group: pa.Table) -> pa.Table:
     """Adds up the counts of a slice's words: answers for its chunks, and totals in a row without a chunk."""
     give_back()
@@ -299,7 +326,8 @@ def grown_tree(counts: DataFrame, scratch: Scratch, *, min_gain: float) -> DataF
 
 
 def answered(tree: DataFrame, asked: DataFrame, bits: int, *, depth: int, weight: float) -> DataFrame:
-    """(slice, chunk, hashes, blob): log10 probabilities for the keys in `hashes` of (slice, chunk, hashes), in their order."""
+    """(slice, chunk, hashes, blob, places): log10 probabilities for the keys in `hashes` of (slice, chunk, hashes): the distinct
+    ones in `blob` and which of them each key has in `places`, as many keys share one."""
     first = int(_LEAD[STEM])
     top = tree.where(F.col("ctx") < first).toArrow()
     names = ("ctx", "sym", "n")
@@ -310,20 +338,25 @@ def answered(tree: DataFrame, asked: DataFrame, bits: int, *, depth: int, weight
     def run(branch: pa.Table, questions: pa.Table) -> pa.Table:
         give_back()
         own = SuffixTree(*(np.concatenate([t, branch.column(c).to_numpy()]) for t, c in zip(shared.value, names)), depth, weight)
-        blobs, keys, held = [], [], 0
+        blobs, places, keys, held = [], [], [], 0
         for i, blob in enumerate(questions.column("hashes"), 1):
             keys.append(unpack_sorted(blob.as_py()))
             held += len(keys[-1])
             if held > FLUSHED or i == questions.num_rows:
                 distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
                 ends = np.cumsum([len(k) for k in keys])[:-1]
-                blobs += map(pack, np.split(own.logs_of(distinct)[where], ends))
+                logs = own.logs_of(distinct).view(_U)
+                for asked_at in np.split(where, ends):
+                    values, place = np.unique(logs[asked_at], return_inverse=True)
+                    blobs.append(pack_sorted(values))
+                    places.append(pack(place.astype(np.uint32)))
                 keys, held = [], 0
-        out = questions.select(["slice", "chunk", "hashes"]).append_column("blob", pa.array(blobs, pa.binary()))
+        out = questions.select(["slice", "chunk", "hashes"]).append_column("blob", pa.array(blobs, pa.binary())).append_column("places", pa.array(places, pa.binary()))
+        out = pa.Table.from_batches(out.to_batches(max_chunksize=4), out.schema)  # the JVM holds a batch whole
         give_back()
         return out
 
-    return branches.groupBy("slice").cogroup(asked.groupBy("slice")).applyInArrow(run, "slice int, chunk long, hashes binary, blob binary")
+    return branches.groupBy("slice").cogroup(asked.groupBy("slice")).applyInArrow(run, "slice int, chunk long, hashes binary, blob binary, places binary")
 
 
 def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0, weight: float = 8.0, mod: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,20 +379,30 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
 
     def ask(row: dict) -> Iterator[tuple]:
         chunk = Chunk(row)
-        known = [(np.zeros(0, _U), np.zeros(0, np.uint32))] * 2  # words and pairs so far, with counts
-        for piece in chunk.pieces():
+        known = Sums(), Sums()  # words and pairs, with counts
+        for piece in chunk.pieces(PIECE_BYTES):
             words, hashed, where = _distinct(piece)
             train = ~held_out(piece.ids, mod)
             counts = np.bincount(where, weights=train[words.row], minlength=len(hashed))
-            units = Units(piece, words)
-            n = np.bincount(units.of_words, weights=train[words.row], minlength=units.count) + np.bincount(units.of_ends, weights=train, minlength=units.count)
-            pairs, where = np.unique(_pairs(units, depth), return_inverse=True)
-            n = np.bincount(where, weights=n[units.unit], minlength=len(pairs))
-            del words, units, where
-            found = ((hashed, counts.astype(np.uint32)), (pairs, n.astype(np.uint32)))
-            known = [_added(*zip(*both)) for both in zip(known, found)]
+            del where
+            known[0].add(hashed, counts.astype(np.uint32))
+            spelling = Spelling(piece, words, depth)
+            del words, hashed, counts
+            for rows, start, stop in _parts(spelling):
+                # a bit below the key tells rows that aren't learned from, so that numbers alone are sorted
+                keys = spelling.pairs(start, stop) << _U(1)
+                keys |= np.repeat(~train[rows], np.diff(np.clip(spelling.rows[rows.start : rows.stop + 1], start, stop))).astype(_U)
+                keys = np.delete(keys, _firsts(spelling, rows, start))
+                keys.sort()
+                first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+                n = np.diff(first, append=len(keys))
+                keys = keys[first]
+                n[(keys & _U(1)) > 0] = 0
+                known[1].add(keys >> _U(1), n.astype(np.uint32))
+            del spelling, keys, first, n
             give_back()
-        (hashed, counts), (pairs, pair_counts) = known
+        (hashed, counts), (pairs, pair_counts) = (of.total() for of in known)
+        del known
         border = cuts(hashed, bits)
         for part in np.flatnonzero(np.diff(border)):
             own = slice(border[part], border[part + 1])
@@ -379,37 +422,55 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 6, min_gain: float = 2.0
     scratch.drop("grown", "short")
     logs = answered(tree, about.select("slice", "chunk", "hashes"), tree_bits, depth=depth, weight=weight)
 
-    def joined(blobs: list[bytes], read: Callable) -> np.ndarray:
-        return np.concatenate([read(b) for b in blobs]) if blobs else np.zeros(0, _U)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(text: pa.Table, replies: pa.Table) -> pa.Table:
         log = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        for row in rows_of(batches):
-            chunk = Chunk(row)
-            # words are few enough to be listed again, contexts with a symbol come back with their answers
-            seen = np.unique(np.concatenate([_distinct(piece)[1] for piece in chunk.pieces()]))
-            totals = joined(by_slice(row.pop("counts")), lambda b: unpack(b, _U))
-            logs = row.pop("logs")
-            asked, found = joined(by_slice(logs, "hashes"), unpack_sorted), joined(by_slice(logs), lambda b: unpack(b, np.float64))
-            order = np.argsort(asked, kind="stable")
-            asked, found = asked[order], found[order]
-            del logs, order
-            for piece in chunk.pieces():
-                words, hashed, where = _distinct(piece)
-                counts = totals[np.searchsorted(seen, hashed)].astype(np.float64)
-                size = len(piece.ids)
-                units = Units(piece, words)
-                pairs, asked_at = np.unique(_pairs(units, depth), return_inverse=True)
-                logs = found[np.searchsorted(asked, pairs)]
-                logs = np.bincount(units.unit, weights=logs[asked_at], minlength=units.count)
-                add = lambda x: np.bincount(words.row, weights=x[where], minlength=size)  # noqa: B023, E731
-                out = [pa.array(piece.ids, mask=piece.ids == NO_ID), pa.array(held_out(piece.ids, mod)), pa.array(words.counts + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(np.bincount(words.row, weights=logs[units.of_words], minlength=size) + logs[units.of_ends])]
-                del words, units, pairs, asked_at, where
-                give_back()
-                yield pa.RecordBatch.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        give_back()
+        chunk = Chunk({name: text.column(name)[0].as_py() for name in text.column_names})
+        totals, asked, found = [np.zeros(0, _U)], [], []
+        for i in np.argsort(replies.column("slice").to_numpy()).tolist():
+            hashes, blob, places = (replies.column(c)[i].as_py() for c in ("hashes", "blob", "places"))
+            if places is None:
+                totals.append(unpack(blob, _U))  # in the order of slices, which is the order of hashes
+            else:
+                asked.append(unpack_sorted(hashes))
+                found.append(unpack_sorted(blob).view(np.float64)[unpack(places, np.uint32)])
+        totals, asked, found = (np.concatenate(x) for x in (totals, asked, found))
+        order = np.argsort(asked)
+        asked, found = asked[order], found[order]
+        del text, replies, order
+        give_back()
+        done = []
+        for piece in chunk.pieces(PIECE_BYTES):
+            words, hashed, where = _distinct(piece)
+            where, n_words = where.astype(np.int32), words.counts
+            spelling = Spelling(piece, words, depth)
+            del words
+            scores = np.zeros(len(piece.ids))
+            for rows, start, stop in _parts(spelling):
+                pairs = spelling.pairs(start, stop)
+                firsts = _firsts(spelling, rows, start)
+                pairs[firsts] = asked[0]  # isn't predicted
+                pairs, asked_at = np.unique(pairs, return_inverse=True)
+                logs = found[np.searchsorted(asked, pairs)][asked_at]
+                logs[firsts] = 0
+                scores[rows] += np.add.reduceat(logs, np.maximum(spelling.rows[rows] - start, 0))
+            done.append((piece.ids, hashed, where, n_words, scores))
+            del spelling, pairs, asked_at, logs
             give_back()
-
-    told = told.where("chunk is not null").select("slice", "chunk", "blob")
-    full = texts.join(answers(told, "counts"), "chunk", "left").join(answers(logs, "logs"), "chunk", "left")
-    out = full.mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        del chunk, piece, asked, found
+        # words are few enough to be listed again, contexts with a symbol came back with their answers
+        seen = np.unique(np.concatenate([hashed for _, hashed, *_ in done]))
+        out = []
+        for ids, hashed, where, n_words, scores in done:
+            counts = totals[np.searchsorted(seen, hashed)].astype(np.float64)
+            rows = np.repeat(np.arange(len(ids)), n_words)
+            add = lambda x: np.bincount(rows, weights=x[where], minlength=len(ids))  # noqa: B023, E731
+            columns = [pa.array(ids, mask=ids == NO_ID), pa.array(held_out(ids, mod)), pa.array(n_words + 1), pa.array((add(counts > 0) + (ends > 0)).astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(add(log(counts)) + log(ends)), pa.array(scores)]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.Table.from_batches(out)
+
+    # replies stay rows of a slice each: gathered and joined to the texts, a chunk's would be rows that the JVM copies several times
+    told = told.where("chunk is not null").selectExpr("slice", "chunk", "cast(null as binary) hashes", "blob", "cast(null as binary) places")
+    full = texts.groupBy("chunk").cogroup(told.unionAll(logs).groupBy("chunk"))
+    out = full.applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -1,12 +1,15 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
+from docspark.llm import suffix_tree
 from docspark.llm.suffix_tree import SYMBOLS, suffix_tree_scores
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,3 +99,33 @@ def test_keeps_every_context_that_diverges(spark):
     # more than 100,000 contexts of 3 symbols diverge
     found = suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string"), depth=3).collect()
     check(rows, found, depth=3)
+
+
+def test_workers_hold_little_besides_a_chunk(spark, monkeypatch):
+    docs, steps = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1), []  # one chunk
+    plain_send, plain_apply = suffix_tree.send, PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(suffix_tree, "send", lambda chunks, split, schema: steps.append((chunks, split)) or plain_send(chunks, split, schema))
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, run, schema: steps.append((self, run)) or plain_apply(self, run, schema))
+    suffix_tree_scores(docs)
+    (chunks, ask), (full, score) = steps[0], steps[-1]
+    row = chunks.first().asDict()
+
+    def peak(step):
+        step()  # tables that stay
+        tracemalloc.start()
+        out = step()
+        mb = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return mb, out
+
+    ask_mb, asked = peak(lambda: sorted(ask(row)))
+    assert ask_mb < 85
+    text, replies = (side._df.toArrow() for side in (full._gd1, full._gd2))
+    score_mb, scored = peak(lambda: score(text, replies).to_pydict())
+    assert score_mb < 85
+    # nothing depends on where pieces and parts end
+    monkeypatch.setattr(suffix_tree, "PIECE_BYTES", 300_000)
+    monkeypatch.setattr(suffix_tree, "SORTED", 70_001)
+    parted = score(text, replies).to_pydict()
+    assert parted.pop("score") == pytest.approx(scored.pop("score"), rel=1e-12)
+    assert parted == scored and sorted(ask(row)) == asked
