@@ -3,7 +3,8 @@
 An item of m bytes that occurs in a text with at most k edits shares at least m + 1 - q * (k + 1) of its q-grams with the
 occurrence, on diagonals (text place less item place) that differ by k at most. Bands are 2 * (k + 1) diagonals wide and
 begin every k + 1, so one band holds them all. Bands with enough shared q-grams are aligned with the item, within
-the band and k more diagonals to each side. No occurrence within the budget is missed.
+the band and k more diagonals to each side, unless the q-grams of the item that are on none of these diagonals take more
+than k edits already. No occurrence within the budget is missed.
 
 Texts and items are compared as UTF-8 bytes with A-Z lower-cased and 0x09-0x0D as blanks; k is `max_edits` times m, and
 less where the lemma would ask for no q-gram. Items below q bytes match only texts that equal them.
@@ -27,7 +28,7 @@ _FOLD[_SPACE] = 0x20
 BLOCK_BYTES = 2 << 20
 #: Shared q-grams (a place in a text with one in an item) that are counted at once.
 POSTINGS = 1 << 21
-#: Cells of alignments, and bytes of their items, that are held at once.
+#: Cells of alignments (and q-grams of their texts), and bytes of their items, that are held at once.
 CELLS, PATTERNS = 1 << 19, 1 << 24
 
 
@@ -62,7 +63,7 @@ class Items:
         self.size = np.array([len(f) for f in self.texts], np.int64)
         self.edits = np.minimum((self.size * max_edits).astype(np.int64), self.size // q - 1)
         self.least = self.size + 1 - q * (self.edits + 1)
-        grams = [_grams(f, q) for f in self.texts]
+        self.grams = grams = [_grams(f, q) for f in self.texts]
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
         grams = np.concatenate(grams or [np.zeros(0, _U)])
@@ -74,12 +75,11 @@ class Items:
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)  # small enough for a processor's cache
         self.seen[(keys * _GOLD) >> self.shift] = True
 
-    def candidates(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, grams: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, first diagonal of the band) with enough shared q-grams."""
         none = np.zeros(0, np.int64)
-        if not len(self.ids) or len(data) < self.q:
+        if not len(self.ids) or not len(grams):
             return none, none, none
-        grams = _grams(data, self.q)
         at = np.flatnonzero(self.seen[(grams * _GOLD) >> self.shift])
         hit, key = self.index.find(grams[at])
         at, key = at[hit], key[hit]
@@ -88,7 +88,7 @@ class Items:
         at, key, row = at[inside], key[inside], row[inside]
         # a gram that repeats in text and item is shared by all pairs of places, so these are counted in slices
         ends = np.cumsum(self.many[key])
-        span = len(data) + int(self.size.max()) + 2  # above all numbers of bands
+        span = int(offs[-1]) + int(self.size.max()) + 2  # above all numbers of bands
         keys, counts, low, held = [], [], 0, 0
         while low < len(at):
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + POSTINGS, "right")))
@@ -119,6 +119,31 @@ class Items:
         number = (np.repeat(row, many) * len(self.ids) + item) * span + band
         return np.unique(np.concatenate([number, number - 1]), return_counts=True)
 
+    def possible(self, grams: np.ndarray, offs: np.ndarray, row: np.ndarray, item: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether the q-grams of the item that no diagonal of the alignment shares can be explained by the budget.
+
+        Each of them takes an edit in one of its bytes, and the fewest edits that reach all are those at the last byte of
+        the first, of the first that begins after it, and so on. More than the budget can't become a match by alignment.
+        """
+        k, many = self.edits[item], self.size[item] - self.q + 1
+        width, most = int(4 * k.max() + 3), int(many.max())
+        mine = np.zeros((len(row), most), _U)  # 0 stands for no q-gram
+        for i, x in enumerate(item):
+            mine[i, : many[i]] = self.grams[x]
+        cell = np.arange(most + width - 1)
+        at = (low - k)[:, None] + cell
+        there = (at >= offs[row][:, None]) & (at + self.q <= offs[row + 1][:, None]) & (cell < (many + 4 * k + 2)[:, None])
+        text = np.where(there, grams[np.clip(at, 0, len(grams) - 1)], _U(0))
+        shared = np.arange(most) >= many[:, None]
+        for d in range(width):
+            shared |= text[:, d : d + most] == mine
+        needed, reached = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        for p in range(most):
+            new = ~shared[:, p] & (reached <= p)
+            needed += new
+            reached[new] = p + self.q
+        return needed <= k
+
     def aligned(self, data: np.ndarray, offs: np.ndarray, row: np.ndarray, item: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fewest edits of each candidate, and where it begins and ends, by alignment within the band."""
         size, k = self.size[item], self.edits[item]
@@ -156,9 +181,18 @@ class Items:
     def matches(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, object, int, int, int]]:
         """(row, item id, begin, end, edits) of the occurrences within the budget; those of one item don't overlap."""
         data = _FOLD[data]
-        row, item, low = self.candidates(data, offs)
+        grams = _grams(data, self.q)
+        row, item, low = self.candidates(grams, offs)
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         order = np.argsort(self.size[item], kind="stable")
+        may, at = np.zeros(len(order), bool), 0
+        while at < len(order):
+            ahead = item[order[at : at + CELLS]]
+            spans = self.size[ahead] + 4 * np.maximum.accumulate(self.edits[ahead]) + 3
+            own = order[at : at + max(1, int((np.arange(1, len(spans) + 1) * spans <= CELLS).sum()))]
+            at += len(own)
+            may[own] = self.possible(grams, offs, row[own], item[own], low[own])
+        order = order[may[order]]
         at = 0
         while at < len(order):
             # candidates that are aligned at once: as many as memory allows with the width and length of the longest

@@ -99,3 +99,35 @@ def test_repeating_texts_are_counted_in_slices(monkeypatch):
     for name, value in (("POSTINGS", 1000), ("CELLS", 500), ("PATTERNS", 300)):
         monkeypatch.setattr(decontaminate, name, value)
     assert decontaminate.Items([1], [item], 8, 0.1).matches(data, offs) == whole and (0, 1, 2910, 3010, 0) in whole
+
+
+def test_bands_whose_shared_grams_leave_more_edits_than_allowed_are_not_aligned(monkeypatch):
+    """A phrase that a text repeats shares many places with an item that has it once, but few of the item's q-grams."""
+    phrase, rest = "as is well known to us ", "every other word of this one occurs nowhere else, so it never is a match at all "
+    item = rest + phrase + rest[::-1]
+    texts = [phrase * 40, "before " + item.replace("other", "othr").replace("drow", "dxrow") + phrase * 40, "nothing of that"]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    seen, whole = [], decontaminate.Items.aligned
+    monkeypatch.setattr(decontaminate.Items, "aligned", lambda self, d, o, row, *rest: seen.extend(row.tolist()) or whole(self, d, o, row, *rest))
+    (found,) = decontaminate.Items([5], [item], 8, 0.1).matches(data, offs)
+    assert found[:2] == (1, 5) and found[4] == 2 and set(seen) == {1} and len(seen) <= 4
+
+
+def test_nothing_is_lost_before_the_alignment(monkeypatch):
+    rng, fewer = random.Random(5), 0
+    for turn in range(60):
+        letters, q, share = rng.choice(["ab", "abc ", "abcdefgh é"]), rng.choice([2, 3, 5, 8, 11]), rng.choice([0.0, 0.1, 0.3])
+        make = lambda n: "".join(rng.choices(letters, k=n))
+        items = [make(rng.randint(6, 60)) for _ in range(6)]
+        texts = ["", make(200)] + [make(rng.randint(0, 9)) + edited(rng, rng.choice(items) * rng.randint(1, 3), rng.randint(0, 9)) + make(rng.randint(0, 9)) for _ in range(12)]
+        data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+        block, asked, possible = decontaminate.Items(list(range(6)), items, q, share), [], decontaminate.Items.possible
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate.Items, "possible", lambda *a: asked.append(possible(*a)) or asked[-1])
+            if turn % 2:
+                m.setattr(decontaminate, "CELLS", 700)
+            got = block.matches(data, offs)
+            fewer += sum(int((~a).sum()) for a in asked)
+            m.setattr(decontaminate.Items, "possible", lambda self, grams, offs, row, *rest: np.ones(len(row), bool))
+            assert got == block.matches(data, offs), turn
+    assert fewer > 100
